@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat_format, decontaminate, line_dedup, mixing, quality, secret_scan, token_store
+from sluice.llm import chat_format, decontaminate, jaccard_join, line_dedup, mixing, quality, secret_scan, token_store
 from sluice.llm.util import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -52,6 +52,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op5_chat_format": op5_chat_format,
     "op6_secret_scan": op6_secret_scan,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_decontaminate": op8_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
