@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat_format, decontaminate, jaccard_join, line_dedup, mixing, quality, secret_scan, token_store
+from sluice.llm import brown_lm, chat_format, decontaminate, jaccard_join, line_dedup, mixing, quality, secret_scan, token_store
 from sluice.llm.util import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,6 +35,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rendered(table(spark, sf_dir, "conversations"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_store": op2_token_store,
     "op3_source_mix": op3_source_mix,
+    "op4_brown_lm": op4_brown_lm,
     "op5_chat_format": op5_chat_format,
     "op6_secret_scan": op6_secret_scan,
     "op7_jaccard_join": op7_jaccard_join,
