@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import brown_lm, chat_format, decontaminate, jaccard_join, line_dedup, mixing, quality, secret_scan, token_store
+from sluice.llm import brown_lm, chat_format, decontaminate, html_extract, jaccard_join, line_dedup, mixing, quality, secret_scan, token_store
 from sluice.llm.util import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -64,6 +64,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"), "page_id", "url")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontaminate": op8_decontaminate,
+    "op9_html_extract": op9_html_extract,
     "op10_quality_rules": op10_quality_rules,
 }
 
