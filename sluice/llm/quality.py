@@ -132,15 +132,15 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
     known = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
     got = measured.where(~base_failed()).join(known, "doc_id")
     grid = F.array(*[F.struct(F.lit(s).alias("score"), F.lit(float(c)).alias("cutoff"), (scores()[s] > F.lit(float(c))).alias("over")) for s in SCORES for c in GRID[s]])
-    cells = got.select(F.col(stratum).alias("stratum"), "quality", F.explode(grid).alias("g")).groupBy("stratum", "g.score", "g.cutoff").agg(
+    cells = saved(got.select(F.col(stratum).alias("stratum"), "quality", F.explode(grid).alias("g")).groupBy("stratum", "g.score", "g.cutoff").agg(
         F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("n_good"),
         F.sum(F.when((F.col("quality") == 1) & F.col("g.over"), 1).otherwise(0)).alias("good_over"),
         F.sum(F.when((F.col("quality") == 0) & F.col("g.over"), 1).otherwise(0)).alias("bad_over"),
-    )
-    tests = cells.agg(F.count(F.lit(1)).alias("tests"))
+    ), "cells")
+    tests = max(1, cells.count())
     each = alpha / len(SCORES)
     tail = binomial_tail(F.col("good_over"), F.col("n_good"), each)
-    valid = cells.join(F.broadcast(tests)).withColumn("tail", tail).where((F.col("tail") <= delta / F.col("tests")) & (F.col("bad_over") > 0))
+    valid = cells.withColumn("tail", tail).where((F.col("tail") <= delta / tests) & (F.col("bad_over") > 0))
     best = valid.groupBy("stratum", "score").agg(F.max(F.struct("bad_over", "cutoff")).alias("b"))
     return best.select("stratum", "score", F.col("b.cutoff").alias("cutoff"))
 
