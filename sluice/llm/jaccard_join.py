@@ -39,10 +39,10 @@ from sluice.llm.util import FLUSH_ENTRIES, WordHashes, blocks_of, byte_lower_wor
 WORDS = 5
 PERCENT = 80
 #: Most frequent shingles put last in the order: a broadcast of at most 12 bytes each.
-HEAVY = 1 << 20
+HEAVY = 1 << 17
 #: Groups up to which a bucket's pairs are all tried at once, and central groups tried in larger ones.
-FULL = 24
-CENTRAL = 8
+FULL = 8
+CENTRAL = 3
 #: Bits of the table that tells candidates from other sets: 32 MB.
 TABLE_BITS = 1 << 28
 SKETCH_WORDS = 16
@@ -139,7 +139,10 @@ def ordered(s: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     if not h.size or not s.size:
         return s
     at = np.minimum(np.searchsorted(h, s), h.size - 1)
-    count = np.where(h[at] == s, n[at], 0)
+    known = h[at] == s
+    if not known.any():
+        return s
+    count = np.where(known, n[at], 0)
     return s[np.argsort(count, kind="stable")]
 
 
