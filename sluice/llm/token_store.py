@@ -4,13 +4,13 @@ Layout below one folder, all Parquet:
 
 * ``rows/kind=chunks`` (key, n_ids, ids): runs of token ids, zstd-packed, each content stored once under the
   sha256 of its ids as little-endian unsigned 32-bit integers. Chunk borders are content-defined: a chunk ends after an id whose rolling
-  hash over the last ``WINDOW`` ids has its low ``BITS`` bits zero, or after ``MAX_IDS`` ids.
+  hash over the last ``WINDOW`` ids has its high ``BITS`` bits zero if it has ``MIN_IDS`` ids or more, or after ``MAX_IDS`` ids.
 * ``recipes`` (doc_id, n_tokens, ids_crc32, root_sha256, chunks array, part) in ascending doc_id order by
   file: the manifest. ``root_sha256`` is a Merkle root over the document's chunk hashes. ``rows/kind=docs``
   has the same before ordering.
 
 Texts are cut at lone spaces, where the byte-level pre-tokenizer cuts as well, and each distinct piece
-is encoded once per worker with the tokenizers library; ids equal those of encoding whole texts (tested).
+is cut into pre-tokens, each of them encoded once per worker with the tokenizers library; ids equal those of encoding whole texts (tested).
 
 Defined results: null and empty texts give the end id alone; repeated rows and doc_ids each keep a
 recipe; null doc_ids come first; special-token strings inside a text are ordinary text; an empty table
@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from sluice.llm.util import parts, scratch_dir, text_bytes
 
 END_ID = 0
-WINDOW = 16
+WINDOW = 4
 BITS = 9
+MIN_IDS = 64
 MAX_IDS = 2048
-CACHE_PIECES = 700_000
+#: Entries of each of a worker's two caches, of pieces between spaces and of pre-tokens.
+CACHE_PIECES = 450_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -50,6 +52,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.of: dict[str, bytes] = {}
+        self.of_token: dict[str, bytes] = {}
+        import public_tokenizers
+        import regex
+
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -66,11 +73,20 @@ class Encoder:
         except KeyError:
             if len(of) > CACHE_PIECES:
                 of.clear()
-            new = [p for p in set(pieces) if p not in of]
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                of[p] = np.array(e.ids, "<u4").tobytes()
+            self._learn([p for p in set(pieces) if p not in of])
             return b"".join(map(of.__getitem__, pieces))
 
+    def _learn(self, new: list[str]) -> None:
+        """Ids of pieces from those of their pre-tokens, where the tokenizer cuts them too."""
+        known, cut = self.of_token, [self.pattern.findall(p) for p in new]
+        if len(known) > CACHE_PIECES:
+            known.clear()
+        fresh = list({t for ts in cut for t in ts if t not in known})
+        for t, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            known[t] = np.array(e.ids, "<u4").tobytes()
+        for p, ts in zip(new, cut, strict=True):
+            self.of[p] = b"".join(map(known.__getitem__, ts))
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -100,7 +116,7 @@ def cuts(ids: np.ndarray) -> list[int]:
         while e - last > MAX_IDS:
             last += MAX_IDS
             out.append(last)
-        if e > last:
+        if e - last >= MIN_IDS or e == n > last:
             out.append(e)
             last = e
     return out
@@ -121,13 +137,19 @@ _ROWS_SQL = "kind string, key binary, doc_id long, n_ids long, crc32 long, refs
 SEEN = 200_000
 
 
+_PACKER = None
+
+
 def packed(raw: bytes) -> bytes:
     """Chunk bytes as stored: zstd over 16-bit ids where they fit (leading byte 2), else 32-bit (4)."""
-    import zstandard
+    global _PACKER
+    if _PACKER is None:
+        import zstandard
 
+        _PACKER = zstandard.ZstdCompressor(level=1)
     ids = np.frombuffer(raw, "<u4")
     small = ids.size and int(ids.max()) < 1 << 16
-    return (b"\x02" if small else b"\x04") + zstandard.ZstdCompressor(level=3).compress(ids.astype("<u2").tobytes() if small else raw)
+    return (b"\x02" if small else b"\x04") + _PACKER.compress(ids.astype("<u2").tobytes() if small else raw)
 
 
 def unpacked(data: bytes) -> bytes:
