@@ -1,7 +1,7 @@
 """Main text of web pages: a linear-chain conditional random field over DOM leaf blocks, decoded by Viterbi.
 
 A page is cut into leaf blocks, texts between block-level tags. Each block has features of its ancestors (tags, cue
-words in class, id and role), of its text (length, links, punctuation) and of its place. The field has two labels, article
+words in class, id and role), of its text (length, links, punctuation). The field has two labels, article
 and other, with weights for features by label and for label pairs. It is trained by gradient steps on the exact
 conditional log-likelihood over labelled pages: ``labelled_pages(n, seed)`` writes pages of many layouts together with the label of each
 block, ``TRAIN_PAGES`` of them by default. Pages are independent: one map pass, no shuffle.
@@ -136,17 +136,13 @@ _STRUCTURE = frozenset("article main section aside nav header footer form ul ol
 
 def features(found: list[Block]) -> list[list[str]]:
     """Names of each block's features."""
-    out, n = [], len(found)
-    for i, b in enumerate(found):
+    out = []
+    for b in found:
         words = b.text.count(" ") + 1
         f = ["bias", f"tag={b.tag if b.tag in _STRUCTURE else '-'}", f"words={min(words.bit_length(), 7)}", f"linked={min(4 * b.links // max(len(b.text), 1), 3)}"]
         f += [f"in={t}" for t in set(b.above) if t in _STRUCTURE and t not in ("p", "div", "body")]
         f += [f"cue={c}" for c in b.cues]
         f.append("stop" if b.text[-1] in ".!?:;\"')…»" else "no stop")
-        if i == 0:
-            f.append("first")
-        if i == n - 1:
-            f.append("last")
         if not b.cues and not {"article", "main", "aside", "nav", "footer", "header", "form"} & set(b.above):
             f.append("bare")
         out.append(f)

@@ -4,14 +4,15 @@ Base patterns find spans as regular expressions do. The models add spans of kind
 runs of ``[A-Za-z0-9+/_=-]`` of at least ``MIN_CHARS`` characters with a digit or both letter cases that touch no
 base span; one is reported if the log-likelihood ratio of the random over the ordinary first-order
 character model is at least ``MIN_RATIO`` a character. Both models are trained from labelled samples over the whole
-corpus: random ones are the values the base patterns found (each distinct value once), ordinary ones are the
+corpus: random ones are the values the base patterns found (each distinct value once) and ``SAMPLES`` strings made by
+a rule (base64 of sha256 of numbers), ordinary ones are the
 distinct identifier-like words, runs of letters, digits, ``_`` and ``-`` in the corpus that hold no digit and
 no base match. With add-one smoothing over the ``len(ALPHABET)``-letter alphabet the tables have a fixed size.
 Only DataFrame functions run: matches come from one regular expression per kind, their places from the
 lengths of what lies between them.
 
 Defined results: null and empty texts have no spans; copies of a secret are found wherever they stand;
-without samples of either class the models add nothing; repeated rows keep their rows; an empty table gives
+without ordinary identifiers the models add nothing; repeated rows keep their rows; an empty table gives
 no rows; other columns don't matter. Positions are code points, ends exclusive.
 """
 
@@ -31,6 +32,7 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 MIN_CHARS = 20
 MIN_RATIO = 0.35
+SAMPLES = 2_000
 CANDIDATE = f"[A-Za-z0-9+/_=-]{{{MIN_CHARS},}}"
 ORDINARY = "[A-Za-z][A-Za-z_-]{7,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -103,11 +105,12 @@ def pair_counts(words: DataFrame) -> DataFrame:
 
 
 def trained(scan: DataFrame) -> list[float] | None:
-    """Log-likelihood ratios (random over ordinary) of all SIZE squared pairs; None without both classes."""
+    """Log-likelihood ratios (random over ordinary) of all SIZE squared pairs; None without ordinary identifiers."""
     tables = []
     clean = f"^[{ALPHABET.replace('-', '')}-]+$"
+    made = scan.sparkSession.range(SAMPLES).select(F.rtrim(F.base64(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256))), F.lit("=")).alias("word"))
     for words in (
-        scan.select(F.explode(F.transform("base", lambda b: b["value"])).alias("word")).where(F.col("word").rlike(clean)),
+        scan.select(F.explode(F.transform("base", lambda b: b["value"])).alias("word")).where(F.col("word").rlike(clean)).union(made),
         scan.select(F.explode("ordinary").alias("word")),
     ):
         counts = [0] * (SIZE * SIZE)
