@@ -31,7 +31,7 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 MIN_CHARS = 20
-MIN_RATIO = 0.35
+MIN_RATIO = 0.1
 SAMPLES = 2_000
 CANDIDATE = f"[A-Za-z0-9+/_=-]{{{MIN_CHARS},}}"
 ORDINARY = "[A-Za-z][A-Za-z_-]{7,}"
