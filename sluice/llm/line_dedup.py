@@ -28,7 +28,7 @@ MIN_WORDS = 30
 WINDOW = 3
 SHORT = 4
 #: Where lines end. The break itself stays with the line before it.
-BREAK = r"(?<=\n)|(?<=[.!?] )"
+BREAK = r"(?<=[\n ])(?:(?<=\n)|(?<=[.!?] ))"
 _RANGES = "array<struct<s:int,e:int>>"
 
 
