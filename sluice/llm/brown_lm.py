@@ -44,9 +44,10 @@ FOLDS, HELD = 7, 2
 END = FREQUENT + SIGNATURES
 ITEMS = END + 1
 N_CLASSES = CLASSES + 1
-_VOCAB = np.dtype([("h", "<u8"), ("n", "<u4"), ("s", "<u2")])
+_VOCAB = np.dtype([("h", "<u8"), ("n", "<u4"), ("s", "<u2")])  # counts of one task
+_WORDS = np.dtype([("h", "<u8"), ("n", "<u8"), ("s", "<u2")])  # counts of all
 _MET = np.dtype([("h", "<u8"), ("row", "<u8"), ("k", "<u4")])
-_BACK = np.dtype([("row", "<u8"), ("n", "<u4"), ("k", "<u4")])
+_BACK = np.dtype([("row", "<u8"), ("n", "<u8"), ("k", "<u4")])
 _CELL = np.dtype([("i", "<u4"), ("n", "<u4")])
 
 
@@ -127,7 +128,7 @@ def vocabulary(train: DataFrame) -> DataFrame:
         for b, got in held.items():
             e = np.concatenate(got)
             h, first, at = np.unique(e["h"], return_index=True, return_inverse=True)
-            out = np.empty(len(h), _VOCAB)
+            out = np.empty(len(h), _WORDS)
             out["h"], out["n"], out["s"] = h, np.bincount(at, e["n"]), e["s"][first]
             yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "payload": pa.array([out.tobytes()], pa.binary()), "n_words": pa.array([len(h)], pa.int64()), "n_tokens": pa.array([int(out["n"].sum())], pa.int64())})
 
@@ -141,7 +142,7 @@ def _most_frequent(vocab: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def top(batches):
         for batch in batches:
             for p in batch.column("payload").to_pylist():
-                e = np.frombuffer(p, _VOCAB)
+                e = np.frombuffer(p, _WORDS)
                 e = e[np.lexsort((e["h"], -e["n"].astype(np.int64)))[:FREQUENT]]
                 yield pa.RecordBatch.from_pydict({"h": pa.array(e["h"].view(np.int64)), "n": pa.array(e["n"].astype(np.int64))})
 
@@ -158,7 +159,7 @@ def _words_by_signature(vocab: DataFrame, least: np.ndarray) -> tuple[np.ndarray
         words, tokens = np.zeros(SIGNATURES, np.int64), np.zeros(SIGNATURES, np.int64)
         for batch in batches:
             for p in batch.column("payload").to_pylist():
-                e = np.frombuffer(p, _VOCAB)
+                e = np.frombuffer(p, _WORDS)
                 e = e[~np.isin(e["h"], known.value)]
                 words += np.bincount(e["s"], minlength=SIGNATURES)
                 tokens += np.bincount(e["s"], e["n"], minlength=SIGNATURES).astype(np.int64)
@@ -366,14 +367,14 @@ def _met(batches, n_blocks: int):
     vocab, asked = [], []
     for batch in batches:
         for kind, p in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-            (asked if kind else vocab).append(np.frombuffer(p, _MET if kind else _VOCAB))
+            (asked if kind else vocab).append(np.frombuffer(p, _MET if kind else _WORDS))
     if not asked:
         return
-    v = np.concatenate(vocab) if vocab else np.empty(0, _VOCAB)
+    v = np.concatenate(vocab) if vocab else np.empty(0, _WORDS)
     v = v[np.argsort(v["h"])]
     for e in asked:
         at = np.minimum(np.searchsorted(v["h"], e["h"]), max(len(v) - 1, 0))
-        n = np.where(v["h"][at] == e["h"], v["n"][at], 0) if len(v) else np.zeros(len(e), np.uint32)
+        n = np.where(v["h"][at] == e["h"], v["n"][at], 0) if len(v) else np.zeros(len(e), np.uint64)
         out = np.empty(len(e), _BACK)
         out["row"], out["n"], out["k"] = e["row"], n, e["k"]
         block = (out["row"] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(n_blocks)
