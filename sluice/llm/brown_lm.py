@@ -5,12 +5,13 @@ P(w_i | w_{i-1}) = P(c_i | c_{i-1}) P(w_i | c_i). All training documents are cou
 * *Vocabulary*: exact counts of all training words, in a block shuffle by word hash. The ``FREQUENT`` most frequent words
   are items of their own (a broadcast of fixed size); every other word belongs to one of ``SIGNATURES`` items by its
   spelling (last bytes, length, digits, marks). So each word has a class, however large the vocabulary.
-* *Exchange*: each round counts, over the whole training text, the classes before and after each item, then moves items
+* *Items*: one pass writes each document as 16-bit items; later passes read these, not the texts.
+* *Exchange*: each round counts, over all training items, the classes before and after each item, then moves items
   one by one to the class that raises the class bigram likelihood most, updating class counts after each move
   (items x classes tables have a fixed size, whatever the corpus).
 * *Model*: class transitions interpolated with class frequencies; emissions with add-``DELTA`` smoothing over the class's
   words and one unknown word for each class.
-* *Scoring*: transitions and frequent words are scored where the text is; other words' counts are met in a second
+* *Scoring*: transitions and frequent words are scored from the items; other words' counts are met in a second
   block shuffle by hash, a third one brings them back to their documents. Entries there are (document, count), summed
   first within documents.
 
@@ -49,6 +50,7 @@ _WORDS = np.dtype([("h", "<u8"), ("n", "<u8"), ("s", "<u2")])  # counts of all
 _MET = np.dtype([("h", "<u8"), ("row", "<u8"), ("k", "<u4")])
 _BACK = np.dtype([("row", "<u8"), ("n", "<u8"), ("k", "<u4")])
 _CELL = np.dtype([("i", "<u4"), ("n", "<u4")])
+_ITEM = np.dtype("<u2")
 
 
 def held_out() -> Column:
@@ -172,51 +174,118 @@ def _words_by_signature(vocab: DataFrame, least: np.ndarray) -> tuple[np.ndarray
     return words, tokens
 
 
-# contexts and exchange
+# texts as items
+
+
+class Hashes(dict):
+    """word -> hash, filled as words come."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = word_hash(word)
+        return h
+
+
+_ENCODED = pa.schema([("block", pa.int32()), ("payload", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("seq", pa.binary())])
+_ENCODED_SQL = "block int, payload binary, row long, doc_id long, held boolean, seq binary"
+
+
+def _encoded(batches, words: tuple[np.ndarray, np.ndarray], n_blocks: int):
+    """Rows of documents with their items, and blocks of their words that are no items of their own."""
+    items, hashes = Items(*words), Hashes()
+    row = TaskContext.get().partitionId() << 36
+    held, size = [], 0
+
+    def flush():
+        e = np.concatenate(held)
+        got = [(b, e[i].tobytes()) for b, i in blocks_of(e["h"], n_blocks)]
+        none = [None] * len(got)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([b for b, _ in got], [p for _, p in got], none, none, none, none), _ENCODED, strict=True)], schema=_ENCODED)
+
+    for batch in batches:
+        seqs, others, rows = [], [], []
+        for k, text in enumerate(batch.column("text").to_pylist()):
+            w = byte_lower_words(text)
+            seq = items.of(w)
+            seqs.append(seq.astype(_ITEM).tobytes())
+            at = np.flatnonzero(seq >= FREQUENT)
+            if at.size:
+                if len(hashes) > CACHE_WORDS:
+                    hashes.clear()
+                others.append(np.fromiter(map(hashes.__getitem__, map(w.__getitem__, at.tolist())), np.uint64, len(at)))
+                rows.append(np.full(len(at), row + k, np.uint64))
+        n = len(seqs)
+        none = [None] * n
+        columns = (none, none, range(row, row + n), batch.column("doc_id"), batch.column("held"), seqs)
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _ENCODED, strict=True)], schema=_ENCODED)
+        row += n
+        if others:
+            e = _repeats(np.concatenate(others), np.concatenate(rows))
+            held.append(e)
+            size += len(e)
+            if size >= FLUSH_ENTRIES:
+                yield flush()
+                held, size = [], 0
+    if size:
+        yield flush()
 
 
-def _sequence(texts: list[bytes], items: Items) -> np.ndarray:
-    """Items of texts, with an end before the first and behind each."""
-    end = np.array([END], np.int64)
-    out = [end]
-    for t in texts:
-        out += [items.of(byte_lower_words(t)), end]
-    return np.concatenate(out)
+def _repeats(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One entry for each word of each row, with its times."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1]))))
+    e = np.empty(len(first), _MET)
+    e["h"], e["row"], e["k"] = h[first], row[first], np.diff(first, append=len(h))
+    return e
 
 
-def contexts(train: DataFrame, words: tuple[np.ndarray, np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """before[item, class], after[item, class]: counts over all training text; fixed-size tables."""
+def _sequence(seqs: list[bytes]) -> np.ndarray:
+    """Items of a batch's documents, with an end before the first and behind each."""
+    end = np.array([END], _ITEM).tobytes()
+    return np.frombuffer(end + end.join(seqs) + end, _ITEM).astype(np.int64)
+
+
+# contexts and exchange
+
+
+def contexts(train: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """before[item, class], after[item, class]: counts over all training items; fixed-size tables.
+
+    Cells are dealt by range; a receiving task adds payload by payload into its range, so its memory has a fixed size.
+    """
     sc = train.sparkSession.sparkContext
-    shared = sc.broadcast((words, classes))
+    shared = sc.broadcast(classes)
     n_blocks = 32
     size = ITEMS * N_CLASSES
+    width = 2 * size // n_blocks + 1
 
     def run(batches):
-        (hashes, item_of), cls = shared.value
-        items, table = Items(hashes, item_of), np.zeros(2 * size, np.int64)
+        cls, table = shared.value, np.zeros(2 * size, np.int64)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 512):
-                seq = _sequence(texts[at : at + 512], items)
-                c = cls[seq]
-                place = np.concatenate([seq[1:] * N_CLASSES + c[:-1], size + seq[:-1] * N_CLASSES + c[1:]])
-                place, n = np.unique(place, return_counts=True)
-                table[place] += n
+            seq = _sequence(batch.column("seq").to_pylist())
+            c = cls[seq]
+            table[:size] += np.bincount(seq[1:] * N_CLASSES + c[:-1], minlength=size)
+            table[size:] += np.bincount(seq[:-1] * N_CLASSES + c[1:], minlength=size)
         at = np.flatnonzero(table)
         e = np.empty(len(at), _CELL)
         e["i"], e["n"] = at, table[at]
-        cuts = np.searchsorted(at, np.arange(n_blocks + 1) * (2 * size // n_blocks + 1))
+        cuts = np.searchsorted(at, np.arange(n_blocks + 1) * width)
         yield _block_batch([(b, e[cuts[b] : cuts[b + 1]].tobytes()) for b in range(n_blocks) if cuts[b] < cuts[b + 1]])
 
     def summed(batches):
-        e = read_blocks(batches, _CELL)
-        if e.size:
-            i, at = np.unique(e["i"], return_inverse=True)
-            n = np.bincount(at, e["n"]).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"i": pa.array([i.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, p in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                e = np.frombuffer(p, _CELL)
+                if b not in sums:
+                    sums[b] = np.zeros(width, np.int64)
+                sums[b][e["i"] - b * width] += e["n"]
+        for b, n in sums.items():
+            i = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"i": pa.array([(i + b * width).astype("<u4").tobytes()], pa.binary()), "n": pa.array([n[i].tobytes()], pa.binary())})
 
     table = np.zeros(2 * size, np.int64)
-    rows = train.mapInArrow(run, "block int, payload binary").repartition(n_blocks, "block").mapInArrow(summed, "i binary, n binary")
+    rows = train.select("seq").mapInArrow(run, "block int, payload binary").repartition(n_blocks, "block").mapInArrow(summed, "i binary, n binary")
     for r in rows.toLocalIterator():
         table[np.frombuffer(r.i, "<u4")] = np.frombuffer(r.n, "<i8")
     shared.destroy()
@@ -262,8 +331,6 @@ def exchange(before: np.ndarray, after: np.ndarray, classes: np.ndarray) -> np.n
 
 @dataclass
 class Model:
-    hashes: np.ndarray  # sorted hashes of frequent words, and the item of each
-    item_of: np.ndarray
     classes: np.ndarray  # class of each item
     count: np.ndarray  # training count of each frequent item and of END; 0 for signatures
     transition: np.ndarray  # log10 P(class | class before)
@@ -272,17 +339,15 @@ class Model:
     n_words: int
 
 
-def fitted(train: DataFrame, vocab: DataFrame, rounds: int = ROUNDS) -> Model:
-    h, n = _most_frequent(vocab)
-    order = np.argsort(h)
-    words = (h[order], order.astype(np.int64))
-    tail_words, tail_tokens = _words_by_signature(vocab, words[0])
+def fitted(train: DataFrame, vocab: DataFrame, n: np.ndarray, hashes: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """The model from encoded training documents; n: counts of the frequent words, hashes: theirs, sorted."""
+    tail_words, tail_tokens = _words_by_signature(vocab, hashes)
     n_train = train.count()
     totals = vocab.agg(F.sum("n_words").alias("w"), F.sum("n_tokens").alias("t")).first()
     classes = np.concatenate([np.arange(FREQUENT + SIGNATURES) % CLASSES, [CLASSES]])
     for _ in range(rounds):
-        classes = exchange(*contexts(train, words, classes), classes)
-    before, _ = contexts(train, words, classes)
+        classes = exchange(*contexts(train, classes), classes)
+    before, _ = contexts(train, classes)
     pair = np.zeros((N_CLASSES, N_CLASSES))
     for c in range(N_CLASSES):
         pair[:, c] = before[classes == c].sum(axis=0)
@@ -295,71 +360,34 @@ def fitted(train: DataFrame, vocab: DataFrame, rounds: int = ROUNDS) -> Model:
     kinds[FREQUENT:END], tokens[FREQUENT:END] = tail_words, tail_tokens
     per = np.bincount(classes, tokens, minlength=N_CLASSES) + DELTA * (np.bincount(classes, kinds, minlength=N_CLASSES) + 1)
     per[CLASSES] = 1.0  # the end is its class's only member
-    return Model(*words, classes, count, transition, np.log10(per), int(totals.t or 0) + n_train, int(totals.w or 0) + (n_train > 0))
+    return Model(classes, count, transition, np.log10(per), int(totals.t or 0) + n_train, int(totals.w or 0) + (n_train > 0))
 
 
 # scoring
 
 
-def _scored(batches, model: Model, n_blocks: int):
-    """Rows of documents with their part of the sums, and blocks of their other words."""
-    items, hashes = Items(model.hashes, model.item_of), {}
+def _scored(batches, model: Model):
+    """Documents with their part of the sums; words that are no items of their own are met later."""
     base = np.log10(model.count + 1.0)
     emit = np.log10(model.count + DELTA)
-    emit[FREQUENT:END] = 0.0  # met later
-    emit[END] = 0.0
     base[FREQUENT:END] = 0.0
+    emit[FREQUENT:] = 0.0
+    emit -= model.denominator[model.classes]
     known = (model.count > 0).astype(np.int64)
-    offset = base.copy()
-    row = TaskContext.get().partitionId() << 36
-    held, size = [], 0
-
-    def flush():
-        e = np.concatenate(held)
-        return [(b, e[i].tobytes()) for b, i in blocks_of(e["h"], n_blocks)]
-
     for batch in batches:
-        docs, blocks = [], []
-        for doc_id, held_out_, text in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            w = byte_lower_words(text)
-            seq = np.empty(len(w) + 1, np.int64)
-            seq[:-1], seq[-1] = items.of(w), END
-            c = model.classes[seq]
-            before = np.concatenate([[CLASSES], c[:-1]])
-            score = model.transition[before, c].sum() + emit[seq].sum() - model.denominator[c].sum()
-            docs.append((row, doc_id, held_out_, len(seq), int(known[seq].sum()), float(offset[seq].sum()), float(score)))
-            other = np.flatnonzero((seq >= FREQUENT) & (seq < END))
-            if other.size:
-                if len(hashes) > CACHE_WORDS:
-                    hashes.clear()
-                got = np.empty(len(other), np.uint64)
-                for k, i in enumerate(other.tolist()):
-                    x = w[i]
-                    if (v := hashes.get(x)) is None:
-                        v = hashes[x] = word_hash(x)
-                    got[k] = v
-                got, n = np.unique(got, return_counts=True)
-                e = np.empty(len(got), _MET)
-                e["h"], e["row"], e["k"] = got, row, n
-                held.append(e)
-                size += len(e)
-                if size >= FLUSH_ENTRIES:
-                    blocks += flush()
-                    held, size = [], 0
-            row += 1
-        yield _doc_batch(blocks, docs)
-    if size:
-        yield _doc_batch(flush(), [])
-
-
-_DOCS = pa.schema([("block", pa.int32()), ("payload", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-_DOCS_SQL = "block int, payload binary, row long, doc_id long, held boolean, n_tokens long, n_known long, base double, score double"
+        seqs = batch.column("seq").to_pylist()
+        if not seqs:
+            continue
+        n = np.fromiter(map(len, seqs), np.int64, len(seqs)) // _ITEM.itemsize + 1
+        starts = np.cumsum(n) - n
+        seq = _sequence(seqs)
+        c = model.classes[seq]
+        seq = seq[1:]
+        sums = [np.add.reduceat(x, starts) for x in (known[seq], base[seq], model.transition[c[:-1], c[1:]] + emit[seq])]
+        yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "held": batch.column("held"), "n_tokens": pa.array(n), "n_known": pa.array(sums[0]), "base": pa.array(sums[1]), "score": pa.array(sums[2])})
 
 
-def _doc_batch(blocks, docs) -> pa.RecordBatch:
-    rows = [(b, p, *[None] * 7) for b, p in blocks] + [(None, None, *d) for d in docs]
-    columns = zip(*rows, strict=True) if rows else [[]] * len(_DOCS)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _DOCS, strict=True)], schema=_DOCS)
+_SCORED_SQL = "row long, doc_id long, held boolean, n_tokens long, n_known long, base double, score double"
 
 
 def _met(batches, n_blocks: int):
@@ -398,15 +426,18 @@ def scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n_blocks = parts(spark)
     source = text_bytes(docs.withColumn("held", held_out()), "doc_id", "text", "held")
-    train = source.where(~F.col("held")).select("doc_id", "text")
-    vocab = vocabulary(train)
-    model = fitted(train, vocab)
+    vocab = vocabulary(source.where(~F.col("held")).select("text"))
+    h, n = _most_frequent(vocab)
+    order = np.argsort(h)
+    words = spark.sparkContext.broadcast((h[order], order.astype(np.int64)))
+    rows = saved(source.mapInArrow(lambda it: _encoded(it, words.value, n_blocks), _ENCODED_SQL), "encoded")
+    texts = rows.where("block is null").select("row", "doc_id", "held", "seq")
+    model = fitted(texts.where("not held"), vocab, n, h[order])
     shared = spark.sparkContext.broadcast(model)
-    rows = saved(source.mapInArrow(lambda it: _scored(it, shared.value, n_blocks), _DOCS_SQL), "scored")
     asked = rows.where("block is not null").select("block", F.lit(1).alias("kind"), "payload")
     both = vocab.select("block", F.lit(0).alias("kind"), "payload").union(asked).repartition(n_blocks, "block")
     back = both.mapInArrow(lambda it: _met(it, n_blocks), "block int, payload binary").repartition(n_blocks, "block").mapInArrow(_summed_rows, "row long, more_known long, more_base double, more_score double")
-    out = rows.where("block is null").join(back, "row", "left")
+    out = texts.mapInArrow(lambda it: _scored(it, shared.value), _SCORED_SQL).join(back, "row", "left")
     zero = F.log10(F.lit(float(model.n_tokens + model.n_words + 1)))
     return out.select(
         "doc_id",
