@@ -400,11 +400,18 @@ def _met(batches, n_blocks: int):
         return
     v = np.concatenate(vocab) if vocab else np.empty(0, _WORDS)
     v = v[np.argsort(v["h"])]
-    for e in asked:
+    held, size = [], 0
+    for k, e in enumerate(asked):
         at = np.minimum(np.searchsorted(v["h"], e["h"]), max(len(v) - 1, 0))
-        n = np.where(v["h"][at] == e["h"], v["n"][at], 0) if len(v) else np.zeros(len(e), np.uint64)
         out = np.empty(len(e), _BACK)
-        out["row"], out["n"], out["k"] = e["row"], n, e["k"]
+        out["row"], out["k"] = e["row"], e["k"]
+        out["n"] = np.where(v["h"][at] == e["h"], v["n"][at], 0) if len(v) else 0
+        held.append(out)
+        size += len(out)
+        if size < FLUSH_ENTRIES and k + 1 < len(asked):
+            continue
+        out = np.concatenate(held)
+        held, size = [], 0
         block = (out["row"] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(n_blocks)
         order = np.argsort(block, kind="stable")
         cuts = np.searchsorted(block[order], np.arange(n_blocks + 1))
