@@ -29,7 +29,10 @@ WINDOW = 3
 SHORT = 4
 #: Where lines end. The break itself stays with the line before it.
 BREAK = r"(?<=[\n ])(?:(?<=\n)|(?<=[.!?] ))"
-_RANGES = "array<struct<s:int,e:int>>"
+#: The same places, with the break taken out of the line.
+BREAK_OUT = r"[\n ](?:(?<=\n)|(?<=[.!?] ))"
+#: Texts without these have only single spaces and line feeds between words.
+UNEVEN = r"[\t\x0b\f\r]|  "
 
 
 def lines(text: Column) -> Column:
@@ -44,16 +47,22 @@ def _row() -> Column:
 def _hashed(docs: DataFrame, min_words: int) -> DataFrame:
     """row, ls (hash h and words n of each line), inner (diagonals within the row), firsts (first place of each fingerprint)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    line = lambda x: F.struct(F.xxhash64(F.btrim(x, F.lit(" \t\n\x0b\f\r"))).alias("h"), F.regexp_count(x, F.lit(f"[^{SPACE}]+")).alias("n"))
-    df = docs.select(_row().alias("row"), F.transform(lines(text), line).alias("ls"))
+    bare = F.split(text, BREAK_OUT)
+    uneven = lambda x: F.struct(F.xxhash64(F.btrim(x, F.lit(" \t\n\x0b\f\r"))).alias("h"), F.regexp_count(x, F.lit(f"[^{SPACE}]+")).alias("n"))
+    # hash and count of an even text's line are the same, without a pattern for each line
+    spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+    even = lambda x: F.struct(F.xxhash64(F.trim(x)).alias("h"), F.when(F.trim(x) == "", 0).otherwise(spaces(F.trim(x)) + 1).alias("n"))
+    df = docs.select(_row().alias("row"), F.when(text.rlike(UNEVEN), F.transform(bare, uneven)).otherwise(F.transform(bare, even)).alias("ls"))
     df = df.withColumn("_o", F.transform("ls", lambda x, i: F.struct((x["n"] < SHORT).alias("short"), x["h"].alias("h"), i.alias("i"), x["n"].alias("n"))))
     size = F.greatest(F.size("_o") - (WINDOW - 1), F.lit(0))
     least = F.slice("_o", F.lit(1), size)
     for k in range(1, WINDOW):
         least = F.zip_with(least, F.slice("_o", F.lit(1 + k), size), lambda a, b: F.when(b < a, b).otherwise(a))
     long = F.filter("_o", lambda x: x["n"] * (WINDOW - 1) >= min_words)
-    marks = F.transform(F.concat(least, long), lambda x: F.struct(x["h"].alias("h"), x["i"].alias("i")))
-    df = df.select("row", "ls", F.array_sort(F.array_distinct(marks)).alias("_m"))
+    # places are made distinct as integers, which Spark does by hashing; structs it compares in pairs
+    places = F.array_distinct(F.transform(F.concat(least, long), lambda x: x["i"]))
+    df = df.select("row", "ls", places.alias("_i"))
+    df = df.select("row", "ls", F.sort_array(F.transform("_i", lambda i: F.struct(F.get("ls", i)["h"].alias("h"), i.alias("i")))).alias("_m"))
     m = F.size("_m")
     pairs = F.zip_with("_m", F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice("_m", F.lit(1), F.greatest(m - 1, F.lit(0)))), lambda x, p: F.struct(x["h"].alias("h"), x["i"].alias("i"), F.when(p["h"] == x["h"], x["i"] - p["i"]).alias("d")))
     df = df.withColumn("_p", pairs)
