@@ -1,15 +1,12 @@
-"""Line dedup by winnowing over line hashes, in DataFrame functions only.
+"""Line dedup by hashes of least passages, in DataFrame functions only.
 
 Texts are cut into lines: at line feeds and behind a sentence end before a space, so that a passage inside a
-physical line is met too. Each line has a 64-bit hash and a word count. Of each window of ``WINDOW`` lines the least
-line, longer ones (``SHORT`` words) before shorter, then by hash, is a fingerprint; so is each line of
-min_words / (WINDOW - 1) words. Equal runs of at least ``min_words`` words then share a fingerprint: with WINDOW lines they share a
-window, with fewer one of their lines is that long.
+physical line is met too. Each line has a 64-bit hash and a word count. From each line on, and up to each line, the
+shortest run of lines with ``min_words`` words is a window, and its lines' hashes make one hash.
 
-Within a document fingerprints are joined to their occurrence before; across documents each document's first
-occurrence is joined to the first in the corpus, by doc_id, then place. A joined pair of places is a diagonal of two
-documents (or one); on each diagonal equal lines are extended both ways into maximal runs, and the lines of a run of
-at least ``min_words`` words are deleted from the later place. The first occurrence of a passage always stays.
+Equal runs of at least ``min_words`` words are made of equal windows, and each of their lines lies in one. So a line is
+deleted if a window it lies in stood before, at any earlier place: in an earlier row (by doc_id) or further up in the
+row. The first occurrence of a passage always stays, whatever other places hold single lines of it.
 
 Defined results: null and empty text has no lines and stays as it is; lines without words are never deleted nor
 counted, and end no run if equal; repeated rows with one doc_id are told apart by the hash of their text, and of equal rows
@@ -19,14 +16,12 @@ other columns are kept by deduped().
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.util import SPACE, saved
 
 MIN_WORDS = 30
-WINDOW = 3
-SHORT = 4
 #: Where lines end. The break itself stays with the line before it.
 BREAK = r"(?<=[\n ])(?:(?<=\n)|(?<=[.!?] ))"
 #: The same places, with the break taken out of the line.
@@ -45,7 +40,7 @@ def _row() -> Column:
 
 
 def _hashed(docs: DataFrame, min_words: int) -> DataFrame:
-    """row, ls (hash h and words n of each line), inner (diagonals within the row), firsts (first place of each fingerprint)."""
+    """row, windows: hash w, first line s and line e behind the last."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bare = F.split(text, BREAK_OUT)
     uneven = lambda x: F.struct(F.xxhash64(F.btrim(x, F.lit(" \t\n\x0b\f\r"))).alias("h"), F.regexp_count(x, F.lit(f"[^{SPACE}]+")).alias("n"))
@@ -53,49 +48,45 @@ def _hashed(docs: DataFrame, min_words: int) -> DataFrame:
     spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
     even = lambda x: F.struct(F.xxhash64(F.trim(x)).alias("h"), F.when(F.trim(x) == "", 0).otherwise(spaces(F.trim(x)) + 1).alias("n"))
     df = docs.select(_row().alias("row"), F.when(text.rlike(UNEVEN), F.transform(bare, uneven)).otherwise(F.transform(bare, even)).alias("ls"))
-    df = df.withColumn("_o", F.transform("ls", lambda x, i: F.struct((x["n"] < SHORT).alias("short"), x["h"].alias("h"), i.alias("i"), x["n"].alias("n"))))
-    size = F.greatest(F.size("_o") - (WINDOW - 1), F.lit(0))
-    least = F.slice("_o", F.lit(1), size)
-    for k in range(1, WINDOW):
-        least = F.zip_with(least, F.slice("_o", F.lit(1 + k), size), lambda a, b: F.when(b < a, b).otherwise(a))
-    long = F.filter("_o", lambda x: x["n"] * (WINDOW - 1) >= min_words)
-    # places are made distinct as integers, which Spark does by hashing; structs it compares in pairs
-    places = F.array_distinct(F.transform(F.concat(least, long), lambda x: x["i"]))
-    df = df.select("row", "ls", places.alias("_i"))
-    df = df.select("row", "ls", F.sort_array(F.transform("_i", lambda i: F.struct(F.get("ls", i)["h"].alias("h"), i.alias("i")))).alias("_m"))
-    m = F.size("_m")
-    pairs = F.zip_with("_m", F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice("_m", F.lit(1), F.greatest(m - 1, F.lit(0)))), lambda x, p: F.struct(x["h"].alias("h"), x["i"].alias("i"), F.when(p["h"] == x["h"], x["i"] - p["i"]).alias("d")))
-    df = df.withColumn("_p", pairs)
-    firsts = F.transform(F.filter("_p", lambda x: x["d"].isNull()), lambda x: F.struct(x["h"].alias("h"), x["i"].alias("i")))
-    inner = F.array_distinct(F.transform(F.filter("_p", lambda x: x["d"].isNotNull()), lambda x: x["d"]))
-    return df.select("row", "ls", inner.alias("inner"), firsts.alias("firsts"))
-
-
-def _runs(a: Column, b: Column, a_from: Column, b_from: Column, min_words: int) -> Column:
-    """Ranges of b in maximal runs of equal lines of enough words, a and b being laid side by side."""
-    n = F.greatest(F.least(F.size(a) - a_from, F.size(b) - b_from), F.lit(0))
-    same = F.zip_with(F.slice(a, a_from + 1, n), F.slice(b, b_from + 1, n), lambda x, y: x["h"] == y["h"])
-    gaps = F.filter(F.transform(same, lambda x, i: F.when(~x, i)), lambda i: i.isNotNull())
-    edges = F.concat(F.array(F.lit(-1)), gaps, F.array(n))
-    runs = F.zip_with(F.slice(edges, F.lit(1), F.size(edges) - 1), F.slice(edges, F.lit(2), F.size(edges) - 1), lambda x, y: F.struct((x + 1 + b_from).cast("int").alias("s"), (y + b_from).cast("int").alias("e")))
-    words = lambda r: F.aggregate(F.slice(b, r["s"] + 1, r["e"] - r["s"]), F.lit(0), lambda t, x: t + x["n"])
-    return F.filter(runs, lambda r: (r["e"] > r["s"]) & (words(r) >= min_words))
+    # slots: for each line -1, then its number for each word; lines of words and words before lines follow without sums.
+    # Columns that lambdas look into are used twice in each step, or Spark would compute them again for each element
+    slots = F.flatten(F.transform("ls", lambda x, i: F.concat(F.array(F.lit(-1)), F.array_repeat(i, F.least(x["n"], F.lit(min_words))))))
+    df = df.select("row", "ls", F.transform("ls", lambda x: x["h"]).alias("_h"), slots.alias("_s"))
+    heads = F.filter(F.transform("_s", lambda x, k: F.when(x < 0, k)), lambda k: k.isNotNull())
+    df = df.select("row", "ls", "_h", F.transform(heads, lambda k, i: k - i).alias("_b"), F.filter("_s", lambda x: x >= 0).alias("_l"))
+    total = F.size("_l")
+    df = df.select("row", "ls", "_h", "_l", F.concat("_b", F.array(total)).alias("_b"))
+    hashed = lambda s, e: F.xxhash64(F.slice("_h", s + 1, e - s))
+    on = lambda i: F.get("_l", F.get("_b", i) + (min_words - 1)) + 1
+    back = lambda i: F.get("_l", F.get("_b", i + 1) - min_words)
+    fore = F.transform("ls", lambda x, i: F.when((x["n"] > 0) & (F.get("_b", i) + min_words <= total), F.struct(hashed(i, on(i)).alias("w"), i.alias("s"), on(i).alias("e"))))
+    hind = F.transform("ls", lambda x, i: F.when((x["n"] > 0) & (F.get("_b", i + 1) >= min_words), F.struct(hashed(back(i), i + 1).alias("w"), back(i).alias("s"), (i + 1).alias("e"))))
+    df = df.select("row", "_l", "_b", fore.alias("_f"), hind.alias("_r"))
+    # lines without words lengthen the window beside them
+    f = F.transform("_f", lambda x, i: F.when(x.isNotNull(), x).when(F.get("_b", i) + min_words <= F.size("_l"), _longer(F.get("_f", F.get("_l", F.get("_b", i))), i, None)))
+    r = F.transform("_r", lambda x, i: F.when(x.isNotNull() & (F.get("_f", x["s"])["e"] == x["e"]), None).when(x.isNotNull(), x).when(F.get("_b", i + 1) >= min_words, _longer(F.get("_r", F.get("_l", F.get("_b", i + 1) - 1)), None, i + 1)))
+    return df.select("row", F.filter(F.concat(f, r), lambda x: x.isNotNull()).alias("windows"))
+
+
+def _longer(x: Column, s: Column | None, e: Column | None) -> Column:
+    """Window x from line s on or up to line e, the lines more being without words."""
+    more = s - x["s"] if s is not None else e - x["e"]
+    return F.when(more == 0, None).otherwise(F.struct(F.xxhash64(x["w"], more).alias("w"), (x["s"] if s is None else s).alias("s"), (x["e"] if e is None else e).alias("e")))
 
 
 def ranges(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """row and the line ranges to delete, for rows that have any."""
-    hashed = saved(_hashed(docs, min_words), "lines")
-    inner = hashed.where(F.size("inner") > 0).select("row", "ls", F.explode("inner").alias("d"))
-    own = inner.select("row", F.explode(_runs(F.col("ls"), F.col("ls"), F.lit(0), F.col("d"), min_words)).alias("r"))
-    marks = hashed.select("row", F.explode("firsts").alias("m")).select("row", "m.h", "m.i")
-    first = marks.groupBy("h").agg(F.min(F.struct("row", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
-    pairs = marks.join(first, "h").where(F.col("first.row") != F.col("row")).select(F.col("first.row").alias("a"), F.col("row").alias("b"), (F.col("i") - F.col("first.i")).alias("d")).distinct()
-    pairs = saved(pairs, "diagonals")
-    a = hashed.select(F.col("row").alias("a"), F.col("ls").alias("la"))
-    b = hashed.select(F.col("row").alias("b"), F.col("ls").alias("lb"))
-    both = pairs.join(a, "a").join(b, "b")
-    across = both.select(F.col("b").alias("row"), F.explode(_runs(F.col("la"), F.col("lb"), F.greatest(-F.col("d"), F.lit(0)), F.greatest(F.col("d"), F.lit(0)), min_words)).alias("r"))
-    return own.unionByName(across).groupBy("row").agg(F.collect_set("r").alias("ranges"))
+    """row and the line ranges to delete, for rows that have any; ranges of a row do not meet."""
+    windows = saved(_hashed(docs, min_words), "windows")
+    marks = windows.select("row", F.explode("windows").alias("m")).select("row", "m.w", "m.s", "m.e")
+    first = marks.groupBy("w").agg(F.min(F.struct("row", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "first")
+    later = marks.join(first, "w").where(F.struct("row", "s") > F.col("first"))
+    got = later.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("rs"))
+    r = "struct<s:int,e:int>"
+    none = F.struct(F.array().cast(f"array<{r}>").alias("done"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
+    last = lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"))
+    step = lambda t, x: F.when(x["s"] <= t["e"], F.struct(t["done"].alias("done"), t["s"].alias("s"), F.greatest(t["e"], x["e"]).alias("e"))).otherwise(F.struct(F.concat(t["done"], F.array(last(t))).alias("done"), x["s"].alias("s"), x["e"].alias("e")))
+    met = F.aggregate("rs", none, step, lambda t: F.filter(F.concat(t["done"], F.array(last(t))), lambda x: x["s"] >= 0))
+    return got.select("row", met.alias("ranges"))
 
 
 def deduped(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

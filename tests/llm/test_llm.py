@@ -46,6 +46,52 @@ def test_line_dedup(docs, none):
     assert line_dedup.deduped(none).count() == 0
 
 
+def _scattered(k, apart):
+    """Four 16-word lines as one passage, or with other lines in between."""
+    ls = [f"{sentence(50 + j, 16)}." for j in range(4)]
+    return " ".join(x for j, y in enumerate(ls) for x in ([f"{sentence(1000 + 10 * k + j, 16)}.", y] if apart else [y]))
+
+
+def deleted_by_brute_force(rows, min_words=30):
+    """Lines deleted of each row: all equal runs of enough words with any earlier place."""
+    keyed = sorted((-1 if i is None else i, t) for i, t in rows)
+    cut = [[x.strip() for x in re.split(line_dedup.BREAK, t)] for _, t in keyed]
+    out = []
+    for b in range(len(cut)):
+        gone = set()
+        for a in range(b + 1):
+            if a < b and keyed[a] == keyed[b]:
+                continue
+            for d in range(1 if a == b else -len(cut[a]), len(cut[b])):
+                run = []
+                for j in range(len(cut[b]) + 1):
+                    if j < len(cut[b]) and 0 <= j - d < len(cut[a]) and cut[a][j - d] == cut[b][j]:
+                        run.append(j)
+                        continue
+                    if sum(len(cut[b][x].split()) for x in run) >= min_words:
+                        gone |= set(run)
+                    run = []
+        out.append((keyed[b][0], len(gone)))
+    return sorted(out)
+
+
+def test_line_dedup_behind_scattered_lines(spark):
+    """A passage is found in a third document though the first one holds its lines scattered."""
+    rows = [(1, _scattered(1, True)), (2, _scattered(2, False)), (3, _scattered(3, False))]
+    got = {r.doc_id: r.n_deleted for r in line_dedup.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 4}
+
+
+def test_line_dedup_against_all_earlier_places(spark):
+    import random
+
+    rng = random.Random(5)
+    pool = ["", "", "a.", "b c.", *[f"{sentence(k, 7 + 3 * k)}." for k in range(6)]]
+    rows = [(rng.choice([None, *range(30)]), "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for _ in range(40)]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_deleted) for r in line_dedup.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == deleted_by_brute_force(rows) and sum(n for _, n in got) > 20
+
+
 def test_token_store(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
