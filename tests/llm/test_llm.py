@@ -92,6 +92,13 @@ def test_line_dedup_against_all_earlier_places(spark):
     assert got == deleted_by_brute_force(rows) and sum(n for _, n in got) > 20
 
 
+def test_line_dedup_within_a_document(spark):
+    """A passage is found again though its lines stand scattered between its two places."""
+    text = " ".join([_scattered(0, False), _scattered(1, True), _scattered(0, False)])
+    got = line_dedup.deduped(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_deleted == 4 and len(got.text.split()) == 4 * 16 * 3
+
+
 def test_token_store(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
