@@ -2,9 +2,9 @@
 
 Windows of ``n`` item words (a shorter item is one window) go into a hash set keyed by word numbers,
 so a lookup compares all words of the window and needs no further verification. The benchmark is
-broadcast in blocks of at most ``block_bytes`` of text: one block for ordinary benchmarks, several
-passes over the documents beyond that, merged per document. Documents are never shuffled in the
-usual case of one block.
+broadcast in blocks of about ``block_bytes`` of text: one block for ordinary benchmarks, several
+passes over the documents beyond that, merged by a row key that is written once before the passes.
+Documents are never shuffled in the usual case of one block.
 
 Defined results: null or empty text has no words and no hits; items without words are ignored;
 repeated items count once by item_id; an item_id that is null is listed as an empty string;
@@ -98,39 +98,44 @@ def _char_spans(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": len(text[:a].decode()), "end": len(text[:b].decode())} for a, b in out]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: n_words, hit word positions, hit spans in code points, items with occurring windows."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, n: int, block_bytes: int) -> list:
+    """The benchmark's windows as broadcasts, one for each block of its text."""
+    sc = benchmark.sparkSession.sparkContext
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-int(total) // block_bytes))
-    source = text_bytes(docs)
-    out = None
+    out = []
     for k in range(n_blocks):
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
-        share = spark.sparkContext.broadcast(Windows([(r.item, bytes(r.text)) for r in part.toLocalIterator()], n))
+        out.append(sc.broadcast(Windows([(r.item, bytes(r.text)) for r in part.toLocalIterator()], n)))
+    return out
 
-        def run(batches, share=share):
-            windows = share.value
-            for batch in batches:
-                rows = {"doc_id": batch.column("doc_id"), "n_words": [], "hit_words": [], "spans": [], "items": []}
-                for text in batch.column("text").to_pylist():
-                    w = words(text)
-                    hit, found = windows.scan(w)
-                    rows["n_words"].append(len(w))
-                    rows["hit_words"].append(np.flatnonzero(hit).tolist())
-                    rows["spans"].append(_char_spans(text, hit) if found else [])
-                    rows["items"].append(sorted(found))
-                yield pa.RecordBatch.from_pydict(rows, _ARROW)
 
-        got = source.mapInArrow(run, SCHEMA)
-        out = got if out is None else out.unionByName(got)
-    if n_blocks == 1:
-        return out
-    return _merged(saved(out, "scans"))
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document: n_words, hit word positions, hit spans in code points, items with occurring windows."""
+    shares = _blocks(benchmark, n, block_bytes)
+    source = text_bytes(docs)
+    if len(shares) > 1:
+        return _merged(_numbered(source, "_row"), "_row", shares).drop("_row")
+    share = shares[0]
+
+    def run(batches):
+        windows = share.value
+        for batch in batches:
+            rows = {"doc_id": batch.column("doc_id"), "n_words": [], "hit_words": [], "spans": [], "items": []}
+            for text in batch.column("text").to_pylist():
+                w = words(text)
+                hit, found = windows.scan(w)
+                rows["n_words"].append(len(w))
+                rows["hit_words"].append(np.flatnonzero(hit).tolist())
+                rows["spans"].append(_char_spans(text, hit) if found else [])
+                rows["items"].append(sorted(found))
+            yield pa.RecordBatch.from_pydict(rows, _ARROW)
+
+    return source.mapInArrow(run, SCHEMA)
 
 
 _ARROW = pa.schema(
@@ -144,15 +149,63 @@ _ARROW = pa.schema(
 )
 
 
-def _merged(scans: DataFrame) -> DataFrame:
-    """One row per document from one row per document and benchmark block. doc_id must be unique here."""
-    return scans.groupBy("doc_id").agg(
+def _numbered(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a row key, written: the key is the same in every later pass."""
+    return saved(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+
+
+def _merged(numbered: DataFrame, key: str, shares: list) -> DataFrame:
+    """The row key and the columns of scan(), one row per row, from a pass for each benchmark block.
+
+    Each pass gives runs of hit words with their code points; runs of all blocks that meet or touch are one
+    span, as if the blocks had been one. Passes behind the first only give rows with hits.
+    """
+    source = text_bytes(numbered, "doc_id", "text", key).withColumnRenamed(key, "row")
+    run_type = "array<struct<a:long,b:long,start:long,end:long>>"
+    arrow = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(pa.struct([(c, pa.int64()) for c in ("a", "b", "start", "end")]))), ("items", pa.list_(pa.string()))])
+    out = None
+    for k, share in enumerate(shares):
+
+        def run(batches, share=share, all_rows=k == 0):
+            windows = share.value
+            for batch in batches:
+                rows = []
+                for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    w = words(text)
+                    hit, found = windows.scan(w)
+                    if found or all_rows:
+                        edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).tolist()
+                        runs = [{"a": a, "b": b, **s} for a, b, s in zip(edges[::2], edges[1::2], _char_spans(text, hit) if found else [], strict=True)]
+                        rows.append({"row": row, "doc_id": doc_id, "n_words": len(w), "runs": runs, "items": sorted(found)})
+                yield pa.RecordBatch.from_pylist(rows, arrow)
+
+        got = source.mapInArrow(run, f"row long, doc_id long, n_words long, runs {run_type}, items array<string>")
+        out = got if out is None else out.unionByName(got)
+    per = saved(out, "scans").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
+        F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
 
+    def joined(batches):
+        for batch in batches:
+            hit_words, spans = [], []
+            for runs in batch.column("runs").to_pylist():
+                met: list[dict] = []
+                for r in runs:
+                    if met and r["a"] <= met[-1]["b"]:
+                        if r["b"] > met[-1]["b"]:
+                            met[-1]["b"], met[-1]["end"] = r["b"], r["end"]
+                    else:
+                        met.append(dict(r))
+                hit_words.append([i for r in met for i in range(r["a"], r["b"])])
+                spans.append([{"start": r["start"], "end": r["end"]} for r in met])
+            rows = {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "hit_words": hit_words, "spans": spans, "items": batch.column("items")}
+            yield pa.RecordBatch.from_pydict(rows, pa.schema([pa.field("row", pa.int64()), *_ARROW]))
+
+    return per.mapInArrow(joined, f"row long, {SCHEMA}").withColumnRenamed("row", key)
+
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, share: int = 20, **how) -> DataFrame:
     """Per document the digest columns; contaminated if one word in ``share`` or more is hit."""

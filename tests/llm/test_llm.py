@@ -229,6 +229,25 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.verdicts(none, bench).count() == 0 and decontaminate.verdicts(docs, bench.limit(0)).count() == docs.count()
 
 
+def _two_block_case(spark):
+    """Rows that repeat a doc_id or have none, and passages whose hits of several items overlap or touch."""
+    bench = spark.createDataFrame([(f"q{k}", sentence(9 + k, 45)) for k in range(6)] + [("p", " ".join(sentence(9, 45).split()[20:]) + " more words here")], "item_id string, text string")
+    joined = sentence(20, 2000) + " " + sentence(9, 45) + " " + sentence(10, 45) + ", tail"
+    rows = [(5, sentence(9, 45)), (5, sentence(40, 90)), (5, sentence(40, 90)), (None, sentence(10, 45)), (None, "é " + sentence(41, 80)), (None, None), (7, joined), (8, sentence(20, 3000) + " é " + sentence(9, 45) + " more words here"), (9, "")]
+    docs = spark.createDataFrame([(i, t, "x", 0 if t is None else len(t)) for i, t in rows], "doc_id long, text string, _row string, n_chars long")
+    return docs, bench
+
+
+def test_decontamination_blocks_keep_rows(spark):
+    docs, bench = _two_block_case(spark)
+    key = lambda df: sorted(map(repr, df.collect()))
+    one = key(decontaminate.scan(docs, bench))
+    assert len(one) == docs.count() and any("hit_words=[2000" in r for r in one)
+    for size in (500, 1000):
+        assert key(decontaminate.scan(docs, bench, block_bytes=size)) == one
+        assert key(decontaminate.verdicts(docs, bench, block_bytes=size)) == key(decontaminate.verdicts(docs, bench))
+
+
 def test_html():
     field = html_extract.trained(html_extract.labelled_pages())
     held = html_extract.labelled_pages(150, seed=991)
