@@ -221,45 +221,66 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, share: int
     )
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, share: int = 20) -> DataFrame:
+def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents without benchmark text: contaminated ones go, hit spans of the others are cut out.
 
-    The columns of docs stay; n_chars follows the text where it is there. One pass, no shuffle; the
-    benchmark must fit one block (ValueError beyond; use verdicts() and joins then).
+    The columns of docs stay; n_chars follows the text where it is there. With one benchmark block one pass and no
+    shuffle; with more, hits of all blocks are merged by row and brought back to the documents.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > BLOCK_BYTES:
-        raise ValueError(f"benchmark text is over {BLOCK_BYTES} bytes")
-    shared = spark.sparkContext.broadcast(Windows([(r.item, bytes(r.text)) for r in items.toLocalIterator()], n))
+    shares = _blocks(benchmark, n, block_bytes)
     at = docs.columns.index("text")
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+    width = len(docs.columns)
+
+    def cut(batch, hits):
+        """The batch's columns of docs, without contaminated rows; hits: (n_words, n_hit, function giving spans) by row."""
+        keep, texts = [], []
+        for k, (text, (n_words, n_hit, spans)) in enumerate(zip(batch.column(at).to_pylist(), hits, strict=True)):
+            if n_hit and share * n_hit >= n_words:
+                continue
+            keep.append(k)
+            if n_hit:
+                for s in reversed(spans()):
+                    text = text[: s["start"]] + text[s["end"] :]
+            texts.append(text)
+        schema = pa.schema([batch.schema.field(i) for i in range(width)])
+        columns = list(batch.take(pa.array(keep, pa.int64())).columns)[:width]
+        columns[at] = pa.array(texts, schema.field(at).type)
+        if chars_at >= 0:
+            old = columns[chars_at].to_pylist()
+            columns[chars_at] = pa.array([len(t) if t is not None else o for t, o in zip(texts, old, strict=True)], schema.field(chars_at).type)
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches):
-        windows = shared.value
-        for batch in batches:
-            keep, texts = [], []
-            for k, text in enumerate(batch.column(at).to_pylist()):
+        windows = shares[0].value
+
+        def hits(batch):
+            for text in batch.column(at).to_pylist():
                 raw = (text or "").encode()
                 w = words(raw)
-                hit, found = windows.scan(w)
-                n_hit = int(hit.sum())
-                if n_hit and share * n_hit >= len(w):
-                    continue
-                keep.append(k)
-                if n_hit:
-                    for s in reversed(_char_spans(raw, hit)):
-                        text = text[: s["start"]] + text[s["end"] :]
-                texts.append(text)
-            out = batch.take(pa.array(keep, pa.int64()))
-            columns = list(out.columns)
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            if chars_at >= 0:
-                old = out.column(chars_at).to_pylist()
-                columns[chars_at] = pa.array([len(t) if t is not None else o for t, o in zip(texts, old, strict=True)], batch.schema.field(chars_at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return docs.mapInArrow(run, docs.schema)
+                hit, _ = windows.scan(w)
+                yield len(w), int(hit.sum()), lambda raw=raw, hit=hit: _char_spans(raw, hit)
+
+        for batch in batches:
+            yield cut(batch, hits(batch))
+
+    if len(shares) == 1:
+        return docs.mapInArrow(run, docs.schema)
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    numbered = _numbered(docs, key)
+    hit = _merged(numbered, key, shares).where(F.size("hit_words") > 0)
+    hit = hit.select(F.col(key).alias("_key"), F.col("n_words").alias("_n_words"), F.size("hit_words").cast("long").alias("_n_hit"), F.col("spans").alias("_spans"))
+    met = numbered.join(hit, numbered[key] == hit["_key"], "left")
+    met = met.select(*[numbered[c] for c in docs.columns], hit["_n_words"], hit["_n_hit"], hit["_spans"])
+
+    def run_met(batches):
+        for batch in batches:
+            n_words, n_hit, spans = (batch.column(width + k).to_pylist() for k in range(3))
+            yield cut(batch, ((w, h or 0, lambda s=s: s) for w, h, s in zip(n_words, n_hit, spans, strict=True)))
+
+    return met.mapInArrow(run_met, docs.schema)
 
 
 def items_digest(items: list[str]) -> str:

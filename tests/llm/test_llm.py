@@ -248,6 +248,15 @@ def test_decontamination_blocks_keep_rows(spark):
         assert key(decontaminate.verdicts(docs, bench, block_bytes=size)) == key(decontaminate.verdicts(docs, bench))
 
 
+def test_cleaned_in_blocks(spark):
+    """Benchmark text of several blocks: the same rows as with one block, not an error."""
+    docs, bench = _two_block_case(spark)
+    key = lambda df: sorted(map(repr, df.collect()))
+    one = decontaminate.cleaned(docs, bench)
+    got = decontaminate.cleaned(docs, bench, block_bytes=500)
+    assert got.columns == docs.columns and key(got) == key(one) and 0 < len(key(one)) < docs.count()
+
+
 def test_html():
     field = html_extract.trained(html_extract.labelled_pages())
     held = html_extract.labelled_pages(150, seed=991)
