@@ -8,16 +8,23 @@ from pyspark.sql import functions as F
 from sluice.functions.names import DEFAULT_TERMS, verdict
 from sluice.operators.merge import csv_line, merged, ordered
 from sluice.sources.files import described
-from sluice.sources.insert_dump import read_rows
+from sluice.sources.mixed import GLOB, read_reports, read_rows
 
 POLICIES = ("tag", "keep", "drop", "mask")
 
 
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(root).select("path", "content")
+
+
 def dump_rows(spark: SparkSession, root: str, done: DataFrame | None = None) -> DataFrame:
-    """Rows of all statements in .sql files below root, with dir and top_folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[sS][qQ][lL]").load(root)
-    rows = read_rows(files.select("path", "content"))
-    return described(rows, root, done)
+    """Rows of all statements and tables in .sql files and of all sheets of .xlsx books below root, with dir and top_folder."""
+    return described(read_rows(_files(spark, root)), root, done)
+
+
+def dump_reports(spark: SparkSession, root: str, done: DataFrame | None = None) -> DataFrame:
+    """What became of each statement, table and sheet, .xls and damaged books included."""
+    return described(read_reports(_files(spark, root)), root, done)
 
 
 def classified(rows: DataFrame, policy: str = "tag", terms: tuple[str, ...] = DEFAULT_TERMS) -> DataFrame:

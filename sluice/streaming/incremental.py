@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.sources.insert_dump import read_rows
+from sluice.sources.mixed import GLOB, read_rows
 
 
 def new_rows(spark: SparkSession, root: str) -> DataFrame:
-    """A streaming DataFrame of rows of .sql files that appear below root."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sql").load(root)
+    """A streaming DataFrame of rows of .sql and .xlsx files that appear below root."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(root)
     return read_rows(files.select("path", "content"))
 
 

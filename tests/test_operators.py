@@ -72,6 +72,21 @@ def test_workbook():
         list(sheets(b"\xd0\xcf\x11\xe0"))
 
 
+def test_plan_reads_tables_and_books(spark, tmp_path):
+    """A delimited file named .sql and a book give rows; what cannot be read gives a report."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "t.sql").write_text('\ufeff\nid,name\n1,"x\ny"\n2\n1,2,3\n', encoding="utf-8")
+    (tmp_path / "a" / "d.sql").write_text("INSERT INTO d (k) VALUES (5);")
+    (tmp_path / "a" / "B.XLSX").write_bytes(book(2))
+    (tmp_path / "a" / "old.xls").write_bytes(b"\xd0\xcf\x11\xe0")
+    (tmp_path / "a" / "bad.xlsx").write_bytes(b"PK\x03\x04broken")
+    got = {(r.table, r.row): (r.columns, [c.text for c in r.cells]) for r in ingest.dump_rows(spark, str(tmp_path)).collect()}
+    assert got[("t", 0)] == (["id", "name"], ["1", "x\ny"]) and got[("t", 1)][1] == ["2", ""] and got[("d", 0)] == (["k"], ["5"])
+    assert got[("B_s1", 1)] == (["id", "", "n"], ["7", "", ""]) and len(got) == 7
+    said = {r.table: (r.status, r.n_rows, r.n_surplus) for r in ingest.dump_reports(spark, str(tmp_path)).collect()}
+    assert said["t"] == ("ok", 2, 1) and said["B_s0"] == ("ok", 2, 0) and said["old"][0] == said["bad"][0] == "rejected" and len(said) == 6
+
+
 def test_queries_match_sql(spark):
     import duckdb
 
