@@ -137,6 +137,19 @@ def test_mixing(docs, none):
     assert mixing.mixed(none).count() == 0
 
 
+def test_mix_stage_with_repeated_ids(spark):
+    """Rows of one doc_id with different sizes, and rows without an id, each stand as often as they were drawn."""
+    import corpus_pipeline
+
+    rows = [(i, sentence(k, n), "a") for k, (i, n) in enumerate([(1, 20), (1, 300), (1, 3000), (None, 50), (None, 700), *[(i, 90) for i in range(2, 12)]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = collections.Counter()
+    for r in mixing.mixed(df).collect():
+        want[r.doc_id, r.size] += r.copies
+    got = collections.Counter((r.doc_id, len(r.text.split())) for r in corpus_pipeline.source_mix(spark, df, "").collect())
+    assert got == +want and max(got[1, n] for n in (20, 300, 3000)) <= 2
+
+
 def test_brown(docs, none):
     got = brown_lm.scored(docs).collect()
     rows = docs.collect()
