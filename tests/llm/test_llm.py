@@ -7,9 +7,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sluice.llm import brown_lm, chat_format, decontaminate, html_extract, jaccard_join, line_dedup, mixing, quality, secret_scan, token_store
+from sluice.llm import brown_lm, chat_format, decontaminate, html_extract, jaccard_join, line_dedup, mixing, quality, secret_scan, shingling, token_store
 from sluice.llm.queries import tokenizer_path
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -229,6 +230,54 @@ def test_jaccard_large_buckets(spark):
     assert {r.doc_id: r.component_id for r in jaccard_join.linked(df).collect()} == want
 
 
+def test_jaccard_bucket_of_thousands(spark):
+    """Near copies that share their rarest shingles, in groups that link within and hardly across, against brute force."""
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for k in range(2500):
+        w = list(base)
+        if k % 3:  # three families: 0, 9 and 18 words of the base replaced
+            for j in range(0, 9 * (k % 3)):
+                w[j] = f"f{k % 3}x{j}"
+        w[30 + k % 29] = f"v{k % 97}"
+        w.extend(f"t{k % 11}x{j}" for j in range(k % 7))
+        texts.append(" ".join(w))
+    sets = [shingle_set(t) for t in texts]
+    number = {}
+    one = np.zeros((len(texts), len({g for x in sets for g in x})), np.float32)
+    for i, x in enumerate(sets):
+        one[i, [number.setdefault(g, len(number)) for g in x]] = 1
+    both, n = one @ one.T, one.sum(axis=1)
+    links = 100 * both >= 80 * (n[:, None] + n[None, :] - both)
+    least = np.arange(len(texts))
+    while True:
+        new = np.where(links, least[None, :], len(texts)).min(axis=1)
+        new = np.minimum(least, new[new])
+        if (new == least).all():
+            break
+        least = new
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in jaccard_join.linked(df).collect()} == dict(enumerate(least.tolist()))
+    assert 1 < len(set(least.tolist())) < 200
+
+
+def test_word_hashes_of_any_piece(monkeypatch):
+    """Words cut by pieces, very long words and texts without words, against split()."""
+    rnd, seen, texts_of = np.random.default_rng(3), {}, {}
+    for piece in (5, 16, 64, 1 << 19):
+        monkeypatch.setattr(shingling, "PIECE", piece)
+        texts = [bytes(rnd.choice(list(b"abAB  \n\t\xc3z"), size=n)) for n in (0, 1, 9, 40, 200, 3)] + [b"x" * 300, b"", b" " * 70, b"y" * 64 + b" z"]
+        for most in (1, 50, 1 << 20):
+            at = []
+            for a, b, data, offsets in shingling.slices(pa.array(texts, pa.binary()), most):
+                h, counts = shingling.words(data, offsets)
+                at += [x.tolist() for x in np.split(h, np.cumsum(counts)[:-1])]
+            assert [len(x) for x in at] == [len(t.split()) for t in texts]
+            for t, x in zip(texts, at, strict=True):
+                for w, v in zip(t.lower().split(), x, strict=True):
+                    assert seen.setdefault(w, v) == v and texts_of.setdefault(v, w) == w
+
+
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([("q1", sentence(9, 45)), ("q2", "one two"), ("q3", None), (None, "nothing here"), ("q1", sentence(9, 45))], "item_id string, text string")
     got = {r.doc_id: r for r in decontaminate.verdicts(docs, bench).collect()}
