@@ -32,11 +32,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import shingling
-from sluice.llm.util import blocks_of, mix, parts, saved, text_bytes
+from sluice.llm.util import Scratch, blocks_of, mix, parts, saved, text_bytes
 
 WORDS = 5
 PERCENT = 80
@@ -324,8 +324,7 @@ def _candidates(batches):
 
 
 def _bit_table(ids: DataFrame, column: str) -> tuple[bytes, int]:
-    """A table with one bit set for each id, and its size: 32 bits an id, at most TABLE_BITS. False positives only cost work."""
-    ids = saved(ids.select(column).distinct(), "ids")
+    """A table with one bit set for each of distinct ids, and its size: 32 bits an id, at most TABLE_BITS. False positives only cost work."""
     bits_of = 1 << 16
     while bits_of < min(TABLE_BITS, 32 * ids.count()):
         bits_of *= 2
@@ -411,9 +410,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 # 5. the rest of large buckets
 
 
-def _across(rest: DataFrame, component: DataFrame) -> DataFrame:
+def _across(scratch: Scratch, rest: DataFrame, component: DataFrame) -> DataFrame:
     """Pairs across components within unfinished buckets that pass the filters."""
-    entries = saved(rest.join(component, "sid", "left").withColumn("c", F.coalesce("c", F.col("sid"))), "rest")
+    entries = scratch.saved(rest.join(component, "sid", "left").withColumn("c", F.coalesce("c", F.col("sid"))), "rest")
     open_ = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
     # entries of a token are salted, and the token's row repeated for each salt, so no bucket meets in one task
     salts = 16
@@ -447,9 +446,10 @@ def _across(rest: DataFrame, component: DataFrame) -> DataFrame:
 # 6. components
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, c): the smallest node reachable, for nodes of edges (a, b). Alternating stars; state is on disk."""
-    e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """(node, c): the smallest node reachable, for nodes of edges (a, b). Alternating stars; each step's edges are on disk."""
+    held = Scratch(scratch.spark)
+    e = held.saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     rows = e.count()
     for _ in range(60):
         if not rows:
@@ -461,43 +461,49 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         # small star: neighbours below a node, and the node, link to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("x"), "m").where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
-        before, rows_before = e, rows
-        e = saved(small, "edges")
-        rows = e.count()
+        after = Scratch(scratch.spark)
+        new = after.saved(small, "edges")
+        rows_before, rows = rows, new.count()
         # both hold distinct rows: the same if as many, and none is new
-        if rows == rows_before and e.join(before, ["u", "v"], "left_anti").isEmpty():
+        same = rows == rows_before and new.join(e, ["u", "v"], "left_anti").isEmpty()
+        held.__exit__()
+        held, e = after, new
+        if same:
             break
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("c")).union(e.select(F.col("v").alias("node"), F.col("v").alias("c")).distinct())
+    out = scratch.saved(e.select(F.col("u").alias("node"), F.col("v").alias("c")).union(e.select(F.col("v").alias("node"), F.col("v").alias("c")).distinct()), "components")
+    held.__exit__()
+    return out
 
 
 def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of docs."""
+    """doc_id, n_shingles, component_id: one row per row of docs, from a table written for the caller."""
     spark = docs.sparkSession
     source = text_bytes(docs)
     n_blocks = parts(spark)
-    sent = source.mapInArrow(lambda it: _sent(it, n_blocks), _PACKED_SQL).repartitionById(n_blocks, "block")
-    counted = sent.mapInArrow(lambda it: _counted(it, n_blocks), _PACKED_SQL).repartitionById(n_blocks, "block")
-    rows = saved(counted.mapInArrow(lambda it: _prefixes(it, n_blocks), _OUT_SQL), "prefixes")
-    found = rows.where("block is not null").select("block", "payload").repartitionById(n_blocks, "block").mapInArrow(_candidates, _FOUND_SQL)
-    found = saved(found, "candidates")
-    pairs = saved(found.where("b is not null").select("a", "b").distinct(), "pairs")
-    rest = found.where("b is null").select("token", F.col("a").alias("sid"), "n", "at", "grp", "sketch")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(rest.select("sid"))
-    sets = saved(sets_of(source, ids), "sets")
-    links = saved(verified(pairs, sets), "links")
-    component = components(spark, links)
-    if not rest.isEmpty():
-        more = saved(_across(rest, saved(component.withColumnRenamed("node", "sid"), "components")), "across")
-        links = links.union(saved(verified(more, sets), "links"))
-        component = components(spark, links)
-    members = rows.where("block is null").select("doc_id", "n", "sid")
-    named = members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    # smallest doc_id of each component, by set id
-    of = named.join(component.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("c", F.col("sid")))
-    best = of.groupBy("c").agg(F.min("least").alias("component_id"))
-    by_sid = saved(of.join(best, "c").select("sid", "component_id"), "by_sid")
-    full = members.where("n > 0").join(by_sid, "sid", "left").select("doc_id", "n", "component_id")
-    empty = members.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return full.union(empty).withColumnRenamed("n", "n_shingles")
+    with Scratch(spark) as scratch:
+        sent = source.mapInArrow(lambda it: _sent(it, n_blocks), _PACKED_SQL).repartitionById(n_blocks, "block")
+        counted = sent.mapInArrow(lambda it: _counted(it, n_blocks), _PACKED_SQL).repartitionById(n_blocks, "block")
+        rows = scratch.saved(counted.mapInArrow(lambda it: _prefixes(it, n_blocks), _OUT_SQL), "prefixes")
+        found = rows.where("block is not null").select("block", "payload").repartitionById(n_blocks, "block").mapInArrow(_candidates, _FOUND_SQL)
+        found = scratch.saved(found, "candidates")
+        pairs = scratch.saved(found.where("b is not null").select("a", "b").distinct(), "pairs")
+        rest = found.where("b is null").select("token", F.col("a").alias("sid"), "n", "at", "grp", "sketch")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(rest.select("sid"))
+        sets = scratch.saved(sets_of(source, scratch.saved(ids.distinct(), "ids")), "sets")
+        links = scratch.saved(verified(pairs, sets), "links")
+        component = components(scratch, links)
+        if not rest.isEmpty():
+            more = scratch.saved(_across(scratch, rest, component.withColumnRenamed("node", "sid")), "across")
+            links = links.union(scratch.saved(verified(more, sets), "links"))
+            component = components(scratch, links)
+        members = rows.where("block is null").select("doc_id", "n", "sid")
+        named = members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
+        # smallest doc_id of each component, by set id
+        of = named.join(component.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("c", F.col("sid")))
+        best = of.groupBy("c").agg(F.min("least").alias("component_id"))
+        by_sid = scratch.saved(of.join(best, "c").select("sid", "component_id"), "by_sid")
+        full = members.where("n > 0").join(by_sid, "sid", "left").select("doc_id", "n", "component_id")
+        empty = members.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+        return saved(full.union(empty).withColumnRenamed("n", "n_shingles"), "linked")

@@ -8,9 +8,10 @@ in the map task first and never gathers more than one entry per map flush.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,11 @@ FLUSH_ENTRIES = 2_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset, below a folder of our own."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sluice-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/sluice-{uuid.uuid4().hex}"
@@ -40,14 +43,50 @@ def _context_dir(spark: SparkSession) -> str | None:
     return found.get() if found.isDefined() else None
 
 
-def saved(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet into the shared scratch folder and read it back: lineage ends there."""
+#: Spark's setting that drops an action's shuffle files when it ends.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """Write df as Parquet and read it back. Its shuffle files go with the write, which nothing else reads them for."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_FREED) if before is None else spark.conf.set(_FREED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved(df: DataFrame, name: str = "t") -> DataFrame:
+    """Write df into a new shared scratch folder and read it back: lineage ends there."""
+    return _written(df, f"{scratch_dir(df.sparkSession)}/{name}")
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark's file systems keep it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables that an operator needs only until its result is written: they go when the block ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.dir, self.n = spark, scratch_dir(spark), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        dropped(self.spark, self.dir)
+
+    def saved(self, df: DataFrame, name: str = "t") -> DataFrame:
+        self.n += 1
+        return _written(df, f"{self.dir}/{self.n}-{name}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -96,10 +135,6 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
-def binary_batch(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns)
-
-
 def blocks_of(keys: np.ndarray, n_blocks: int, order: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(block, indices of its entries) by the high bits of 64-bit keys; keys need no order."""
     block = ((keys >> np.uint64(40)) % np.uint64(n_blocks)).astype(np.int64)
@@ -130,7 +165,3 @@ def native_words(text: Column) -> Column:
     """Array of words (SPACE splits); empty for null or blank text."""
     bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
     return F.when(F.length(bare) > 0, F.split(bare, f"[{SPACE}]+")).otherwise(F.array().cast("array<string>"))
-
-
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
