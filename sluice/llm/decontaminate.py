@@ -1,7 +1,7 @@
 """Benchmark decontamination: a broadcast hash set of normalised benchmark n-grams scans every document.
 
-Windows of ``n`` item words (a shorter item is one window) go into a hash set keyed by word numbers,
-so a lookup compares all words of the window and needs no further verification. The benchmark is
+Windows of ``n`` item words (a shorter item is one window) are kept as sorted hashes; a document's windows are hashed over whole
+buffers of texts, looked up behind a bit filter, and hits are verified word by word. The benchmark is
 broadcast in blocks of about ``block_bytes`` of text: one block for ordinary benchmarks, several
 passes over the documents beyond that, merged by a row key that is written once before the passes.
 Documents are never shuffled in the usual case of one block.
@@ -14,7 +14,6 @@ columns of documents other than doc_id and text pass through untouched.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 
@@ -23,16 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm import shingling
 from sluice.llm.util import saved, text_bytes
 
 N_WORDS = 13
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Bytes of the word pattern [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z are lowered.
 _TABLE = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
     for b in range(256)
 )
 _WORD = re.compile(rb"[^ ]+")
+_WORD_OR_END = re.compile(rb"[^ \n]+")
+_ALPHABET = shingling.Alphabet(_TABLE)
 SCHEMA = "doc_id long, n_words long, hit_words array<long>, spans array<struct<start:long,end:long>>, items array<string>"
 
 
@@ -41,47 +43,74 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """Windows of a block of items: word numbers, and for each length the items by window."""
-
-    def __init__(self, items: list[tuple[str, bytes]], n: int) -> None:
-        self.number: dict[bytes, int] = {}
-        self.by_len: dict[int, dict[bytes, set[str]]] = defaultdict(dict)
-        for item, text in items:
-            w = words(text)
-            if not w:
-                continue
-            ids = np.array([self.number.setdefault(x, len(self.number) + 1) for x in w], np.uint32)
-            size = min(n, len(w))
-            for i in range(len(w) - size + 1):
-                self.by_len[size].setdefault(ids[i : i + size].tobytes(), set()).add(item)
-        # first two words of windows, as one number: a cheap filter before whole windows are compared
-        self.heads = {
-            size: np.unique(np.array([_pair(np.frombuffer(k, np.uint32)) for k in found], np.uint64))
-            for size, found in self.by_len.items()
-        }
-
-    def scan(self, w: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        get = self.number.get
-        ids = np.fromiter((get(x, 0) for x in w), np.uint32, len(w))
-        hit, items = np.zeros(len(w), bool), set()
-        known = np.concatenate(([0], np.cumsum(ids > 0)))
-        for size, found in self.by_len.items():
-            if len(w) < size:
-                continue
-            at = np.flatnonzero(known[size:] - known[:-size] == size)
-            if at.size and size > 1:
-                pair = (ids[at].astype(np.uint64) << np.uint64(32)) | ids[at + 1]
-                heads = self.heads[size]
-                at = at[heads[np.minimum(np.searchsorted(heads, pair), len(heads) - 1)] == pair]
-            for i in at.tolist():
-                if got := found.get(ids[i : i + size].tobytes()):
-                    hit[i : i + size] = True
-                    items |= got
-        return hit, items
+    """Windows of a block of items, as sorted hashes for each length; a window found is compared word by word.
 
+    Some 40 bytes a window, in flat arrays, besides the items' texts.
+    """
 
-def _pair(ids: np.ndarray) -> int:
-    return (int(ids[0]) << 32) | int(ids[1]) if len(ids) > 1 else int(ids[0])
+    def __init__(self, items: list[tuple[str, bytes]], n: int) -> None:
+        self.names = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.names)}
+        self.text = b"\n".join(text.translate(_TABLE) for _, text in items)
+        data = np.frombuffer(self.text, np.uint8)
+        ends = np.cumsum([len(text) + 1 for _, text in items], dtype=np.int64)
+        offsets = np.concatenate(([0], ends[:-1], [len(data)])) if items else np.zeros(1, np.int64)
+        h, counts = shingling.words(data, offsets, _ALPHABET) if items else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        self.starts = np.fromiter((m.start() for m in _WORD_OR_END.finditer(self.text)), np.int64, len(h))
+        first = np.cumsum(counts) - counts
+        owner = np.repeat(np.array([number[item] for item, _ in items], np.int64), counts)
+        text_of = np.repeat(np.arange(len(items)), counts)
+        self.by_len: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(np.minimum(counts[counts > 0], n)).tolist():
+            every = shingling.runs(h, size)
+            at = np.flatnonzero(text_of[: len(every)] == text_of[size - 1 :])
+            if size < n:  # a shorter item is one window
+                at = at[counts[text_of[at]] == size]
+            at = at[np.lexsort((owner[at], every[at]))]
+            hashes, owners = every[at], owner[at]
+            fresh = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])))
+            for k in np.flatnonzero(~np.concatenate(([True], hashes[1:] != hashes[:-1]))).tolist():
+                if self.words_at(int(at[k]), size) != self.words_at(int(at[k - 1]), size):
+                    raise ValueError("two windows have one hash")  # of the order of 2^-64 for each pair of windows
+            hashes, owners, at = hashes[fresh], owners[fresh], at[fresh]
+            heads = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+            bits = 1 << min(26, max(16, int(16 * len(heads)).bit_length()))
+            filled = np.zeros(bits, bool)
+            filled[(hashes[heads] & np.uint64(bits - 1)).astype(np.int64)] = True
+            self.by_len[size] = (hashes[heads], np.append(heads, len(hashes)), owners, at[heads], np.packbits(filled, bitorder="little"))
+
+    def words_at(self, word: int, size: int) -> list[bytes]:
+        end = int(self.starts[word + size]) if word + size < len(self.starts) else len(self.text)
+        return self.text[int(self.starts[word]) : end].split()
+
+    def scan(self, column: pa.Array):
+        """For each text of a binary column: its number of words, and the hit words (or None) with the items found."""
+        for a, b, data, offsets in shingling.slices(column):
+            h, counts = shingling.words(data, offsets, _ALPHABET)
+            first = np.cumsum(counts) - counts
+            found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+            text_of = np.repeat(np.arange(b - a), counts)
+            for size, (hashes, _, _, _, bits) in self.by_len.items():
+                every = shingling.runs(h, size)
+                low = every & np.uint64(8 * len(bits) - 1)
+                at = np.flatnonzero(bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
+                at = at[text_of[at] == text_of[at + size - 1]]
+                k = np.minimum(np.searchsorted(hashes, every[at]), len(hashes) - 1)
+                same = hashes[k] == every[at]
+                for word, window in zip(at[same].tolist(), k[same].tolist(), strict=True):
+                    found[int(text_of[word])].append((size, word - int(first[text_of[word]]), window))
+            for t, n_words in enumerate(counts.tolist()):
+                if t not in found:
+                    yield n_words, None, []
+                    continue
+                w = words(data[offsets[t] : offsets[t + 1]].tobytes())
+                hit, owners = np.zeros(n_words, bool), set()
+                for size, i, window in found[t]:
+                    _, edges, names, at, _ = self.by_len[size]
+                    if w[i : i + size] == self.words_at(int(at[window]), size):
+                        hit[i : i + size] = True
+                        owners.update(names[edges[window] : edges[window + 1]].tolist())
+                yield n_words, hit if owners else None, [self.names[k] for k in sorted(owners)]
 
 
 def _char_spans(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
@@ -126,13 +155,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, block_bytes: i
         windows = share.value
         for batch in batches:
             rows = {"doc_id": batch.column("doc_id"), "n_words": [], "hit_words": [], "spans": [], "items": []}
-            for text in batch.column("text").to_pylist():
-                w = words(text)
-                hit, found = windows.scan(w)
-                rows["n_words"].append(len(w))
-                rows["hit_words"].append(np.flatnonzero(hit).tolist())
-                rows["spans"].append(_char_spans(text, hit) if found else [])
-                rows["items"].append(sorted(found))
+            texts = batch.column("text")
+            for k, (n_words, hit, found) in enumerate(windows.scan(texts)):
+                rows["n_words"].append(n_words)
+                rows["hit_words"].append([] if hit is None else np.flatnonzero(hit).tolist())
+                rows["spans"].append([] if hit is None else _char_spans(texts[k].as_py(), hit))
+                rows["items"].append(found)
             yield pa.RecordBatch.from_pydict(rows, _ARROW)
 
     return source.mapInArrow(run, SCHEMA)
@@ -169,14 +197,14 @@ def _merged(numbered: DataFrame, key: str, shares: list) -> DataFrame:
         def run(batches, share=share, all_rows=k == 0):
             windows = share.value
             for batch in batches:
-                rows = []
-                for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    w = words(text)
-                    hit, found = windows.scan(w)
+                rows, texts = [], batch.column("text")
+                for k, (row, doc_id, (n_words, hit, found)) in enumerate(zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), windows.scan(texts), strict=True)):
                     if found or all_rows:
-                        edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).tolist()
-                        runs = [{"a": a, "b": b, **s} for a, b, s in zip(edges[::2], edges[1::2], _char_spans(text, hit) if found else [], strict=True)]
-                        rows.append({"row": row, "doc_id": doc_id, "n_words": len(w), "runs": runs, "items": sorted(found)})
+                        runs = []
+                        if hit is not None:
+                            edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).tolist()
+                            runs = [{"a": a, "b": b, **s} for a, b, s in zip(edges[::2], edges[1::2], _char_spans(texts[k].as_py(), hit), strict=True)]
+                        rows.append({"row": row, "doc_id": doc_id, "n_words": n_words, "runs": runs, "items": found})
                 yield pa.RecordBatch.from_pylist(rows, arrow)
 
         got = source.mapInArrow(run, f"row long, doc_id long, n_words long, runs {run_type}, items array<string>")
@@ -225,7 +253,8 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, share: int
     """Documents without benchmark text: contaminated ones go, hit spans of the others are cut out.
 
     The columns of docs stay; n_chars follows the text where it is there. With one benchmark block one pass and no
-    shuffle; with more, hits of all blocks are merged by row and brought back to the documents.
+    shuffle; with more, hits of all blocks are merged by row and brought back to the documents. Words left and right of a cut
+    stay apart if white space or marks stand there, as they do around words; windows they form anew are not scanned again.
     """
     shares = _blocks(benchmark, n, block_bytes)
     at = docs.columns.index("text")
@@ -255,11 +284,10 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, share: int
         windows = shares[0].value
 
         def hits(batch):
-            for text in batch.column(at).to_pylist():
-                raw = (text or "").encode()
-                w = words(raw)
-                hit, _ = windows.scan(w)
-                yield len(w), int(hit.sum()), lambda raw=raw, hit=hit: _char_spans(raw, hit)
+            column = batch.column(at)
+            texts = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).fill_null(b"")
+            for k, (n_words, hit, _) in enumerate(windows.scan(texts)):
+                yield n_words, 0 if hit is None else int(hit.sum()), lambda k=k, hit=hit: _char_spans(texts[k].as_py(), hit)
 
         for batch in batches:
             yield cut(batch, hits(batch))
@@ -281,7 +309,3 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, share: int
             yield cut(batch, ((w, h or 0, lambda s=s: s) for w, h, s in zip(n_words, n_hit, spans, strict=True)))
 
     return met.mapInArrow(run_met, docs.schema)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -50,7 +50,7 @@ FLUSH_SETS = 1 << 16
 TABLE_BITS = 1 << 28
 SKETCH_BYTES = 128
 TILE = 1024
-_MEMBER = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n", "<u4"), ("sid", "<u8")])
+_MEMBER = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("row", "<i8"), ("n", "<u4"), ("sid", "<u8")])
 _SET = np.dtype([("sid", "<u8"), ("n", "<u4"), ("sketch", "u1", SKETCH_BYTES)])
 _SHARED = np.dtype([("token", "<u8"), ("df", "<u4"), ("at", "<u2")])
 _ENTRY = np.dtype([("token", "<u8"), ("sid", "<u8"), ("group", "<u8"), ("n", "<u4"), ("at", "<u4"), ("sketch", "u1", SKETCH_BYTES)])
@@ -137,14 +137,15 @@ def _sent(batches, n_blocks: int):
         ids = batch.column("doc_id")
         known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False))
         numbers = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        row = batch.column("row").to_numpy(zero_copy_only=False)
         for a, b, data, offsets in shingling.slices(batch.column("text")):
             met = np.zeros(b - a, _MEMBER)
-            met["doc_id"], met["known"] = numbers[a:b], known[a:b]
+            met["doc_id"], met["known"], met["row"] = numbers[a:b], known[a:b], row[a:b]
             for k, s in enumerate(shingling.shingles(data, offsets, WORDS)):
                 if not s.size:
                     continue
                 sid = set_id(s)
-                met[k] = (met["doc_id"][k], met["known"][k], len(s), sid)
+                met["n"][k], met["sid"][k] = len(s), sid
                 if sid in seen:
                     continue
                 seen[sid] = None
@@ -213,7 +214,7 @@ def _prefixes(batches, n_blocks: int):
             m = np.frombuffer(payload, _MEMBER)
             none = pa.nulls(len(m), pa.int32()), pa.nulls(len(m), pa.binary())
             n = m["n"].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*none, pa.array(m["doc_id"].astype(np.int64), mask=m["known"] == 0), pa.array(n), pa.array(m["sid"].astype(np.uint64).view(np.int64), mask=n == 0)], schema=_OUT)
+            yield pa.RecordBatch.from_arrays([*none, pa.array(m["doc_id"].astype(np.int64), mask=m["known"] == 0), pa.array(m["row"].astype(np.int64)), pa.array(n), pa.array(m["sid"].astype(np.uint64).view(np.int64), mask=n == 0)], schema=_OUT)
         if "shared" not in got:
             continue
         sets = np.concatenate([np.frombuffer(x, _SET) for x in got["sets"]])
@@ -235,11 +236,11 @@ def _prefixes(batches, n_blocks: int):
         group = np.where(alone == 0, mix(same + n.astype(np.uint64)), sets["sid"])
         out["group"] = group[at]
         for b, i in blocks_of(mix(out["token"]), n_blocks):
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([out[i].tobytes()], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(3))], schema=_OUT)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([out[i].tobytes()], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(4))], schema=_OUT)
 
 
-_OUT = pa.schema([("block", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64())])
-_OUT_SQL = "block int, payload binary, doc_id long, n long, sid long"
+_OUT = pa.schema([("block", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("sid", pa.int64())])
+_OUT_SQL = "block int, payload binary, doc_id long, row long, n long, sid long"
 
 
 # 3. candidates
@@ -477,10 +478,14 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return out
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of docs, from a table written for the caller."""
+def linked(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of docs, from a table written for the caller.
+
+    With ``row``, the name of a column of longs that tells rows apart, also that column and first_row: the row of the component
+    that has its smallest doc_id (nulls last), then the smallest number; null without words.
+    """
     spark = docs.sparkSession
-    source = text_bytes(docs)
+    source = text_bytes(docs.withColumn("row", F.col(row) if row else F.lit(0).cast("long")), "doc_id", "text", "row")
     n_blocks = parts(spark)
     with Scratch(spark) as scratch:
         sent = source.mapInArrow(lambda it: _sent(it, n_blocks), _PACKED_SQL).repartitionById(n_blocks, "block")
@@ -498,12 +503,14 @@ def linked(docs: DataFrame) -> DataFrame:
             more = scratch.saved(_across(scratch, rest, component.withColumnRenamed("node", "sid")), "across")
             links = links.union(scratch.saved(verified(more, sets), "links"))
             component = components(scratch, links)
-        members = rows.where("block is null").select("doc_id", "n", "sid")
-        named = members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
+        members = rows.where("block is null").select("doc_id", "row", "n", "sid")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row"))
+        named = members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), first.alias("first"))
         # smallest doc_id of each component, by set id
         of = named.join(component.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("c", F.col("sid")))
-        best = of.groupBy("c").agg(F.min("least").alias("component_id"))
-        by_sid = scratch.saved(of.join(best, "c").select("sid", "component_id"), "by_sid")
-        full = members.where("n > 0").join(by_sid, "sid", "left").select("doc_id", "n", "component_id")
-        empty = members.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-        return saved(full.union(empty).withColumnRenamed("n", "n_shingles"), "linked")
+        best = of.groupBy("c").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+        by_sid = scratch.saved(of.select("sid", "c").join(best, "c").select("sid", "component_id", F.col("first.row").alias("first_row")), "by_sid")
+        full = members.where("n > 0").join(by_sid, "sid", "left").select("doc_id", "n", "component_id", "row", "first_row")
+        empty = members.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "row", F.lit(None).cast("long").alias("first_row"))
+        out = full.union(empty).withColumnRenamed("n", "n_shingles")
+        return saved(out.withColumnRenamed("row", row) if row else out.drop("row", "first_row"), "linked")

@@ -8,11 +8,13 @@ so all chosen cutoffs hold at once with probability 1 - delta. Of a score's vali
 found, then relaxed to the highest that rejects as many labelled bad documents, so that clean documents
 keep their distance. ``alpha`` is shared out over the scores. A stratum with too few labels gets no cutoff.
 
-Candidates are the fixed grids ``GRID``; labelled counts are taken over all labelled documents.
+Candidates are the fixed grids ``GRID``, chosen without looking at any label, so all labelled documents are the holdout: each
+document counts once in each test, and the number of tests is that of the full grid over all strata with labels.
 
 Defined results: null or empty text has no words and fails the base rule; a null language is a stratum;
-documents without a label only receive cutoffs; repeated labels of a document count once each; without
-labels, or with an empty table, only the base rules reject; other columns are kept by filtered().
+documents without a label only receive cutoffs; repeated labels, and repeated rows of one document, count once (a document
+labelled both good and bad once as each); without labels, or with an empty table, only the base rules reject; other columns
+are kept by measures() if named.
 """
 
 from __future__ import annotations
@@ -116,7 +118,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
         total = top + F.log(F.exp(s["sum"] - top) + F.exp(ln - top))
         return F.struct(ln.alias("ln"), total.alias("sum"))
 
-    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+    terms = F.when((k > 0) & (k.cast("double") <= n.cast("double") * p), F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
     summed = F.exp(F.aggregate(terms, zero, add, lambda s: s["sum"]))
     return F.when(k.cast("double") > n.cast("double") * p, F.lit(1.0)).otherwise(summed)
 
@@ -129,15 +131,16 @@ def _ln(x: float) -> float:
 
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, score, cutoff) chosen on labelled documents that pass the base rules; see the module."""
-    known = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
-    got = measured.where(~base_failed()).join(known, "doc_id")
+    known = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").distinct()
+    one = measured.where(~base_failed()).select("doc_id", stratum, "n_words", "n_symbols", "n_dup_lines", "n_repeat_words")
+    got = one.join(known, "doc_id").distinct()
     grid = F.array(*[F.struct(F.lit(s).alias("score"), F.lit(float(c)).alias("cutoff"), (scores()[s] > F.lit(float(c))).alias("over")) for s in SCORES for c in GRID[s]])
     cells = saved(got.select(F.col(stratum).alias("stratum"), "quality", F.explode(grid).alias("g")).groupBy("stratum", "g.score", "g.cutoff").agg(
         F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("n_good"),
         F.sum(F.when((F.col("quality") == 1) & F.col("g.over"), 1).otherwise(0)).alias("good_over"),
         F.sum(F.when((F.col("quality") == 0) & F.col("g.over"), 1).otherwise(0)).alias("bad_over"),
     ), "cells")
-    tests = max(1, cells.count())
+    tests = max(1, cells.count())  # each stratum has a cell for each cutoff of the grid
     each = alpha / len(SCORES)
     tail = binomial_tail(F.col("good_over"), F.col("n_good"), each)
     valid = cells.withColumn("tail", tail).where((F.col("tail") <= delta / tests) & (F.col("bad_over") > 0))

@@ -18,8 +18,18 @@ PIECE = 1 << 19
 #: An odd number whose powers have a long period: R - 1 is divisible by 4 and by no higher power of 2.
 _R = 0xD1342543DE82EF95
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_IS_WORD = np.array([b not in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D) for b in range(256)])
-_T = np.where(_IS_WORD, _SEEDS[[b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)]], np.uint64(0))
+
+
+class Alphabet:
+    """Which bytes make words, and each byte's number T. folded: bytes as they count, 0x20 for those between words."""
+
+    def __init__(self, folded: bytes) -> None:
+        self.inside = np.array([b != 0x20 for b in folded])
+        self.numbers = np.where(self.inside, _SEEDS[list(folded)], np.uint64(0))
+
+
+#: White space ends words, A-Z count as a-z.
+PLAIN = Alphabet(bytes(0x20 if 0x09 <= b <= 0x0D else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -32,7 +42,7 @@ _POWERS = _powers(_R, PIECE)
 _BACK = _powers(pow(_R, -1, 1 << 64), PIECE)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet = PLAIN) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of texts in one buffer, and each text's number of words. offsets: starts, and the end behind the last."""
     found, at = [], []
     carry, open_from = 0, -1  # sum so far, and start, of a word that a piece's end cuts
@@ -40,7 +50,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for a in range(base, end, PIECE):
         b = min(end, a + PIECE)
         piece = data[a:b]
-        inside = _IS_WORD[piece]
+        inside = alphabet.inside[piece]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         lo, hi = np.searchsorted(offsets, [a, b])
@@ -50,7 +60,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         if goes_on:
             begins[0] = False
         starts = np.flatnonzero(begins)
-        values = _T[piece] * _POWERS[: len(piece)]
+        values = alphabet.numbers[piece] * _POWERS[: len(piece)]
         if open_from >= 0:
             if goes_on:
                 head = int(values[: starts[0] if starts.size else len(values)].sum())
@@ -77,16 +87,22 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix(hashes), counts
 
 
+def runs(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words, whatever texts they are of."""
+    n = len(h) - size + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    factors = mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    out = h[:n] * factors[0]
+    for k in range(1, size):
+        out += h[k : k + n] * factors[k]
+    return mix(out)
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text of fewer words has one shingle, one without words none."""
     h, counts = words(data, offsets)
-    factors = mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    n = len(h)
-    if n >= size:
-        every = h[: n - size + 1] * factors[0]
-        for k in range(1, size):
-            every += h[k : k + n - size + 1] * factors[k]
-        every = mix(every)
+    every = runs(h, size)
     at = 0
     for c in counts.tolist():
         if c >= size:
@@ -96,7 +112,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.nd
             np.not_equal(s[1:], s[:-1], out=fresh[1:])
             yield s if fresh.all() else s[fresh]
         elif c:
-            yield mix((h[at : at + c] * factors[:c]).sum(keepdims=True) + np.uint64(c))
+            yield runs(h[at : at + c], c) + np.uint64(c)
         else:
             yield np.empty(0, np.uint64)
         at += c

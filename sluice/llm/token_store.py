@@ -13,7 +13,8 @@ Texts are cut at lone spaces, where the byte-level pre-tokenizer cuts as well, a
 is cut into pre-tokens, each of them encoded once per worker with the tokenizers library; ids equal those of encoding whole texts (tested).
 
 Defined results: null and empty texts give the end id alone; repeated rows and doc_ids each keep a
-recipe; null doc_ids come first; special-token strings inside a text are ordinary text; an empty table
+recipe; null doc_ids come first; special-token strings inside a text
+become their ids, as the library's plain call gives them; an empty table
 gives an empty store; other columns of the input are not stored.
 """
 
@@ -50,13 +51,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.of: dict[str, bytes] = {}
         self.of_token: dict[str, bytes] = {}
         import public_tokenizers
         import regex
 
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        #: Strings that the library takes out of a text before it cuts pre-tokens.
+        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -78,7 +80,7 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Ids of pieces from those of their pre-tokens, where the tokenizer cuts them too."""
-        known, cut = self.of_token, [self.pattern.findall(p) for p in new]
+        known, cut = self.of_token, [[p] if any(x in p for x in self.special) else self.pattern.findall(p) for p in new]
         if len(known) > CACHE_PIECES:
             known.clear()
         fresh = list({t for ts in cut for t in ts if t not in known})

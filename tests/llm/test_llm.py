@@ -104,7 +104,6 @@ def test_token_store(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     got = token_store.stored(docs, tokenizer_path(), str(tmp_path / "s")).orderBy("start").collect()
     assert len(got) == docs.count() and got[0].doc_id is None
     start = 0
@@ -117,7 +116,7 @@ def test_token_store(spark, docs, none, tmp_path):
     assert sum(map(len, back.values())) == start
     assert token_store.stored(none, tokenizer_path()).count() == 0
     e = token_store.Encoder(tokenizer_path())
-    for x in ["a  b", " a", "a ", "  a\n b  \n\n c", "don't we'll", "x \n y", "  a　b", "<|endoftext|> a", "1 2  3\t4", "日本 語。  x"]:
+    for x in ["a  b", " a", "a ", "  a\n b  \n\n c", "don't we'll", "x \n y", "  a　b", "<|endoftext|> a", "x  <|endoftext|>  y <|endoftext|><|endoftext|>z", "it's<|endoftext|>'s", "1 2  3\t4", "日本 語。  x"]:
         assert np.frombuffer(e(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
@@ -358,6 +357,15 @@ def test_quality(spark, docs, none):
     assert quality.verdicts(none, labels).count() == 0
 
 
+def test_cutoff_rejects(spark):
+    """Bad documents by label are full of signs: a cutoff takes them, and unlabelled ones like them, and leaves clean ones."""
+    rows = [(i, sentence(i, 60) + ("".join(f" #{j}$%{j}&" for j in range(60)) if i % 4 == 0 else ""), "en") for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(1200)], "doc_id long, quality int, toxic int")
+    got = quality.verdicts(docs, labels).collect()
+    assert {r.doc_id for r in got if not r.kept and not r.base_failed} == {i for i in range(1600) if i % 4 == 0}
+
+
 def test_cutoffs_hold_their_risk(spark):
     from pyspark.sql import functions as F
 
@@ -365,5 +373,10 @@ def test_cutoffs_hold_their_risk(spark):
     df = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, quality int")
     got = quality.cutoffs(df.drop("quality"), df.select("doc_id", "quality")).collect()
     assert [(r.stratum, r.score) for r in got] == [("en", "symbol_share")] and 0.02 <= got[0].cutoff < 0.9
+    # labels or rows that repeat are no further trials
+    few = df.where("doc_id < 60")
+    once = quality.cutoffs(few.drop("quality"), few.select("doc_id", "quality")).collect()
+    again = few.drop("quality").union(few.drop("quality")), few.select("doc_id", "quality").crossJoin(spark.range(32)).drop("id")
+    assert once == [] and quality.cutoffs(*again).collect() == once
     tail = spark.range(1).select(quality.binomial_tail(F.lit(3).cast("long"), F.lit(100).cast("long"), 0.05)).first()[0]
     assert math.isclose(tail, sum(math.comb(100, i) * 0.05**i * 0.95 ** (100 - i) for i in range(4)), rel_tol=1e-9)
