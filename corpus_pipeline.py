@@ -3,12 +3,15 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns a DataFrame; all but the last
 return the columns of documents. Stages are written as Parquet and read again between them.
 
-1. quality_rules: documents that base rules or risk-controlled cutoffs reject go.
-2. near_duplicates: of each component of 5-word shingle links (Jaccard 0.8), and of each exact copy, the smallest doc_id stays;
-   documents without words are all kept by this stage.
+1. quality_rules: documents that base rules or risk-controlled cutoffs reject go, row by row: rows of one doc_id, language and
+   text share a verdict, others don't, null doc_ids included. Null and empty texts fail the base rules.
+2. near_duplicates: of each component of 5-word shingle links (Jaccard 0.8), exact copies and repeated rows included, one row
+   stays: that of the smallest doc_id (null last; among texts of one doc_id by their hash). Documents without words are all kept.
 3. decontamination: documents with one word in 20 or more in benchmark windows go; smaller hits are cut out of the text.
 4. source_mix: documents the mix takes no copies of go; those it takes twice stand twice, repeats with the same doc_id.
-5. token_store: every row is encoded, stored, and read back.
+5. token_store: every row is encoded, stored, and read back; null texts are empty.
+
+An empty table gives no rows in every stage; more columns than those of documents pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -21,15 +24,33 @@ from sluice.llm.queries import tokenizer_path
 from sluice.llm.util import saved, scratch_dir, table
 
 
+def _keyed(docs: DataFrame, *of: str) -> tuple[DataFrame, str]:
+    """docs with a hash of the columns named and of the text, and its name: rows that agree in these get one verdict."""
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    told = [x for c in of for x in (F.col(c).isNull(), F.col(c))]
+    return docs.withColumn(key, F.xxhash64(*told, F.col("text").isNull(), F.col("text"))), key
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rejected = quality.verdicts(docs, table(spark, sf_dir, "labels")).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    keyed, key = _keyed(docs, "doc_id", "lang")
+    measured = saved(quality.measures(keyed, "lang", key), "measures")
+    chosen = quality.cutoffs(measured, table(spark, sf_dir, "labels"))
+    rejected = quality.decided(measured, chosen, "lang").where(~F.col("kept")).select(key).distinct()
+    return keyed.join(rejected, key, "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = jaccard_join.linked(docs)
-    gone = linked.where((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    keyed, key = _keyed(docs, "doc_id")
+    linked = jaccard_join.linked(keyed, key).where("n_shingles > 0")
+    gone = linked.where(F.col(key) != F.col("first_row")).select(key).distinct()
+    # rows of one doc_id and text have one key: of those that stay, one row is chosen, whatever their other columns
+    repeated = saved(linked.where(F.col(key) == F.col("first_row")).groupBy(key).count().where("count > 1").select(key), "repeated")
+    kept = keyed.join(gone.union(repeated), key, "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return kept
+    return kept.union(keyed.join(repeated, key, "left_semi").dropDuplicates([key]).select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
