@@ -1,7 +1,9 @@
 """INSERT statements of SQL dumps, parsed from bytes.
 
-``statements(data)`` yields one Statement for each INSERT; ``read_dumps`` makes DataFrames of rows and of statement reports.
-Scanning is by compiled patterns over bytes, one match per token. A file is one task (binaryFile, 2 GB at most).
+``outline(data)`` finds statements and the byte ranges of their rows without reading values; ``statements(data)`` parses the values
+too; ``read_rows`` and ``read_reports`` make DataFrames. A statement's fate is known from its outline, so its rows are parsed in
+pieces of about ``PIECE`` bytes, by one task as they come or, with ``spread``, by as many tasks as there are pieces.
+Scanning is by compiled patterns over bytes, one match for an ordinary row. A file is one row of binaryFile (2 GB at most).
 Cells stay text: kind is text, null or missing.
 """
 
@@ -23,19 +25,28 @@ MAX_CELL = 64 << 20
 
 _STRING = rb"'(?:[^'\\]|\\.|'')*+'"
 _DOUBLE = rb'"(?:[^"\\]|\\.|"")*+"'
+_OPEN = rb"'(?:[^'\\]|\\.|'')*+(?:'|\\?\Z)|" + rb'"(?:[^"\\]|\\.|"")*+(?:"|\\?\Z)|`(?:[^`]|``)*+(?:`|\Z)|\[[^\]]*+(?:\]|\Z)'
 _SKIP = re.compile(
-    rb"\s+|--[^\n]*|/\*.*?(?:\*/|\Z)|" + _STRING + rb"|" + _DOUBLE + rb"|`(?:[^`]|``)*+`|\[[^\]]*\]|\$([A-Za-z_0-9]{0,64})\$.*?(?:\$\1\$|\Z)"
-    rb"|(?P<word>[A-Za-z_@\x80-\xff][A-Za-z_@0-9$\x80-\xff]*)|(?P<other>.)",
+    rb"\s+|--[^\n]*|/\*.*?(?:\*/|\Z)|" + _OPEN + rb"|\$([A-Za-z_0-9]{0,64})\$.*?(?:\$\1\$|\Z)"
+    rb"|(?P<url>https?://[^\s;]*)|(?P<word>[A-Za-z_@\x80-\xff][A-Za-z_@0-9$\x80-\xff]*)|(?P<other>.)",
     re.DOTALL,
 )
 _BLANK = re.compile(rb"(?:\s+|--[^\n]*(?:\n|\Z)|/\*.*?\*/)*", re.DOTALL)
-_IDENT = re.compile(rb"`(?:[^`]|``)*`|\"(?:[^\"]|\"\")*\"|'(?:[^']|'')*'|\[[^\]]*\]|[A-Za-z_@\x80-\xff][A-Za-z_@0-9$\x80-\xff]*|[0-9][A-Za-z_0-9$]*")
+_IDENT = re.compile(rb"`(?:[^`]|``)*`|\"(?:[^\"]|\"\")*\"|'(?:[^']|'')*'|\[[^\]]*\]|[A-Za-z_@\x80-\xff][A-Za-z_@0-9$\x80-\xff]*")
 _WORD = re.compile(rb"[A-Za-z_]+")
 _LITERAL = re.compile(rb"[NnEe]?(" + _STRING + rb")|(" + _DOUBLE + rb")", re.DOTALL)
-_RAW = re.compile(rb"(?P<end>[,)])|(?P<open>\()|/\*.*?\*/|--[^\n]*|" + _STRING + rb"|" + _DOUBLE + rb"|[^,()'\"/\-]+|(?P<quote>['\"])|.", re.DOTALL)
+_RAW = re.compile(rb"(?P<end>[,)])|(?P<open>\()|/\*.*?(?:\*/|\Z)|(?P<line>--)|" + _STRING + rb"|" + _DOUBLE + rb"|`(?:[^`]|``)*+`|[^,()'\"`/\-]+|(?P<quote>['\"`])|.", re.DOTALL)
+#: A row without comments, brackets, dollar quotes and semicolons outside strings, its parentheses at most three deep, and what follows it.
+_PART = rb"[^()'\"`;\[$/\-]++|" + _STRING + rb"|" + _DOUBLE + rb"|-(?!-)|/(?!\*)"
+_PART = rb"(?:" + _PART + rb"|\((?:" + _PART + rb"|\((?:" + _PART + rb")*+\))*+\))*+"
+_ROW = re.compile(rb"\(" + _PART + rb"\)\s*+(,\s*+(?=\())?", re.DOTALL)
+#: An ordinary value and what ends it.
+_VALUE = re.compile(rb"\s*+(?:[NnEe]?'((?:[^'\\]|\\.|'')*+)'|(-?[^,()'\"`/\-]*+))\s*+([,)])", re.DOTALL)
 _ESCAPE = re.compile(rb"''|\\(['\\])")
 _ESCAPE2 = re.compile(rb"\"\"|\\([\"\\])")
-_CLEAN = bytes.maketrans(b"", b"")
+#: Bytes looked ahead for the header behind a web address, and bytes of rows parsed at a time.
+LOOK_AHEAD = 64 << 10
+PIECE = 4 << 20
 
 
 class _End(Exception):
@@ -61,6 +72,9 @@ class Statement:
     reason: str = ""
     surplus: int = 0
     rows: list[list[tuple[str, str | None]]] = field(default_factory=list)
+    #: (number of the first row, start, end) of runs of complete rows.
+    pieces: list[tuple[int, int, int]] = field(default_factory=list)
+    n_tuples: int = 0
 
     @property
     def quiet(self) -> bool:
@@ -126,28 +140,39 @@ def _cell(data: bytes, at: int) -> tuple[tuple[str, str | None], int]:
         if end >= len(data):
             raise _End
     depth, pieces, start = 0, [], at
-    for m in _RAW.finditer(data, at):
+    m = _RAW.match(data, at)
+    while m:
         if m["quote"]:
             raise _End  # an open literal runs to the end
-        got = m[0]
+        got, at = m[0], m.end()
         if m["open"]:
             depth += 1
         elif m["end"] and depth == 0:
-            text = b"".join(pieces).strip()
-            if not text:
-                return ("missing", None), m.start()
-            if text.upper() == b"NULL":
-                return ("null", None), m.start()
-            return ("text", text.decode("utf-8", "replace")), m.start()
+            return _raw_cell(pieces), m.start()
+        elif m["line"] and depth == 0:  # a line comment ends the value
+            end = _blank(data, m.start())
+            if end >= len(data):
+                raise _End
+            if data[end : end + 1] not in (b",", b")"):
+                raise _Bad("comma expected", end)
+            return _raw_cell(pieces), end
         elif got == b")":
             depth -= 1
-        if not got.startswith((b"/*", b"--")):
+        if not got.startswith(b"/*"):
             pieces.append(got)
-        if m.end() - start > MAX_CELL:
+        if at - start > MAX_CELL:
             raise _Bad("value too long", start)
+        m = _RAW.match(data, at)
     raise _End
 
 
+def _raw_cell(pieces: list[bytes]) -> tuple[str, str | None]:
+    text = b"".join(pieces).strip()
+    if not text:
+        return "missing", None
+    return ("null", None) if text.upper() == b"NULL" else ("text", text.decode("utf-8", "replace"))
+
+
 def _tuple(data: bytes, at: int) -> tuple[list[tuple[str, str | None]], int]:
     """Values of a row that starts behind its opening parenthesis; () has none."""
     first = _blank(data, at)
@@ -155,17 +180,27 @@ def _tuple(data: bytes, at: int) -> tuple[list[tuple[str, str | None]], int]:
         return [], first + 1
     out = []
     while True:
-        cell, at = _cell(data, at)
+        m = _VALUE.match(data, at)
+        if not m:
+            cell, at = _cell(data, at)
+        else:
+            text, raw, _ = m.groups()
+            at = m.start(3)
+            if raw is None:
+                cell = "text", (_ESCAPE.sub(lambda x: x[1] or b"'", text) if b"'" in text or b"\\" in text else text).decode("utf-8", "replace")
+            else:
+                raw = raw.strip()
+                cell = ("text", raw.decode("utf-8", "replace")) if raw and raw.upper() != b"NULL" else ("null" if raw else "missing", None)
         out.append(cell)
         if data[at : at + 1] == b")":
             return out, at + 1
         at += 1
 
 
-def _header(data: bytes, at: int, s: Statement) -> int:
-    """Parse up to VALUES; where the body starts."""
-    into = False
-    while True:
+def _header(data: bytes, at: int, s: Statement, linked: bool = False) -> int:
+    """Parse up to VALUES; where the body starts. linked: a web address stood for INSERT INTO."""
+    into = linked
+    while not linked:
         at = _blank(data, at)
         w = _WORD.match(data, at)
         word = w[0].upper() if w else b""
@@ -203,26 +238,54 @@ def _header(data: bytes, at: int, s: Statement) -> int:
     raise _Bad({b"SET": "INSERT ... SET", b"SELECT": "INSERT ... SELECT", b"WITH": "INSERT ... SELECT"}.get(word, "no VALUES"), at)
 
 
-def _body(data: bytes, at: int, s: Statement) -> int:
-    """Parse rows; where the statement ends."""
-    width = len(s.columns)
+def _outlined(data: bytes, at: int, s: Statement) -> int:
+    """Find the ranges of rows; where the statement ends. Values are read only in rows that _ROW doesn't know."""
     at = _blank(data, at)
+    first, start, limit = 0, at, -1  # limit: the body's end, looked for where a row isn't ordinary
+    whole = data
+
+    def keep(end: int) -> None:
+        if s.n_tuples > first:
+            s.pieces.append((first, start, end))
+
     while True:
-        if data[at : at + 1] != b"(":
-            if at >= len(data):
-                raise _End
-            if not s.rows and not s.surplus:
-                return at
-            raise _Bad("row expected", at)
-        row, at = _tuple(data, at + 1)
-        if width and len(row) > width:
-            s.surplus += 1
+        m = _ROW.match(data, at)
+        if m:
+            s.n_tuples += 1
+            end, at = (m.start(1) if m[1] else m.end()), m.end()
+            if m[1]:
+                if at - start >= PIECE:
+                    keep(end)
+                    first, start = s.n_tuples, at
+                continue
         else:
-            s.rows.append(row)
+            if limit < 0:
+                limit = _body_end(data, at)
+                data = data[:limit] if limit < len(data) else data
+            if data[at : at + 1] != b"(":
+                if at >= len(data) and (s.n_tuples or limit >= len(whole)):
+                    keep(at)
+                    raise _End
+                if not s.n_tuples:
+                    return at
+                raise _Bad("row expected", at)
+            row_at = at
+            try:
+                _, at = _tuple(data, at + 1)
+            except _End:
+                keep(row_at)
+                raise
+            s.n_tuples += 1
+            end = at
         at = _blank(data, at)
         if data[at : at + 1] != b",":
             break
         at = _blank(data, at + 1)
+        if at - start >= PIECE:
+            keep(end)
+            first, start = s.n_tuples, at
+    keep(end)
+    data = whole
     w = _WORD.match(data, at)
     if at >= len(data) or data[at : at + 1] == b";":
         return at + 1
@@ -233,31 +296,49 @@ def _body(data: bytes, at: int, s: Statement) -> int:
     raise _Bad("unexpected text behind the rows", at)
 
 
-def _statement_end(data: bytes, at: int) -> int:
-    """The next ``;`` or statement word outside quotes and parentheses; UPDATE of ON DUPLICATE KEY does not count."""
-    depth, last = 0, b""
+def _body_end(data: bytes, at: int) -> int:
+    """Where a body ends at the latest: at a ``;`` at any depth, or at a statement word outside parentheses."""
+    depth = 0
     for m in _SKIP.finditer(data, at):
         got = m[0]
-        depth += (got == b"(") - (got == b")")
-        if depth == 0 and got == b";":
-            return m.end()
-        if m["word"]:
-            word = got.upper()
-            if depth == 0 and word in STATEMENT_WORDS and not (word == b"UPDATE" and last in (b"KEY", b"DO")):
-                return m.start()
-            last = word
+        if got == b";":
+            return m.start()
+        depth = max(0, depth + (got == b"(") - (got == b")"))
+        if depth == 0 and m["word"] and got.upper() in STATEMENT_WORDS:
+            return m.start()
     return len(data)
 
 
-def statements(data: bytes, wanted: Callable[[str, list[str]], bool] | None = None) -> Iterator[Statement]:
-    """INSERT statements in order. ``wanted`` decides by table and columns before any value is parsed.
-
-    A truncated statement keeps its complete rows and is ``cut``; a malformed one loses all its rows and is ``rejected``.
+def _statement_end(data: bytes, at: int) -> int:
+    """Behind the next ``;`` at any depth, or at the next statement word outside parentheses."""
+    end = _body_end(data, at)
+    return end + 1 if data[end : end + 1] == b";" else end
+
+
+def _linked(data: bytes, at: int) -> bool:
+    """Whether a whole ``table [(columns)] VALUES`` stands behind a web address, as in dumps where it overwrote the keyword."""
+    probe = data[at : at + LOOK_AHEAD]
+    try:
+        _, end = _path(probe, _blank(probe, 0))
+        if probe[end : end + 1] == b"(":
+            _, end = _column_list(probe, end)
+            end = _blank(probe, end)
+    except (_Bad, _End):
+        return False
+    w = _WORD.match(probe, end)
+    return bool(w) and w[0].upper() == b"VALUES"
+
+
+def outline(data: bytes, wanted: Callable[[str, list[str]], bool] | None = None, links: bool = True) -> Iterator[Statement]:
+    """INSERT statements in order, with the ranges of their rows. ``wanted`` decides by table and columns before any row is looked at.
+
+    A truncated statement keeps its complete rows and is ``cut``; a malformed one loses all its rows and is ``rejected``. With ``links``
+    a web address in place of the keyword counts if a header follows it.
     """
     at, counted, line = (3 if data.startswith(b"\xef\xbb\xbf") else 0), 0, 1
     while True:
         for m in _SKIP.finditer(data, at):
-            if m["word"] and m["word"].upper() == b"INSERT":
+            if m["word"] and m["word"].upper() == b"INSERT" or m["url"] and links and _linked(data, m.end()):
                 break
         else:
             return
@@ -265,48 +346,107 @@ def statements(data: bytes, wanted: Callable[[str, list[str]], bool] | None = No
         counted = m.start()
         s, at = Statement(m.start(), line), m.end()
         try:
-            at = _header(data, at, s)
+            at = _header(data, at, s, bool(m["url"]))
             s.values_offset = at
             if wanted and not wanted(s.table, s.columns):
                 s.status, s.reason = "skipped", "not wanted"
                 at = _statement_end(data, at)
             else:
-                at = _body(data, at, s)
-                if not s.rows and not s.surplus:
+                at = _outlined(data, at, s)
+                if not s.n_tuples:
                     s.status, s.reason = "skipped", "no rows"
         except _End:
-            s.status, s.reason = ("cut", "data ends inside the statement") if s.rows else ("rejected", "data ends inside the statement")
-            at = len(data)
+            s.status, s.reason = ("cut", "data ends inside the statement") if s.n_tuples else ("rejected", "data ends inside the statement")
+            at = max(at, _statement_end(data, s.values_offset if s.values_offset >= 0 else at))
         except _Bad as e:
             where = e.at if e.at >= 0 else at
-            s.rows = []
+            s.pieces, s.n_tuples = [], 0
             s.status = "skipped" if e.reason in QUIET else "rejected"
             s.reason = e.reason if s.status == "skipped" else f"{e.reason} (line {data.count(b'\n', 0, where) + 1}, byte {where})"
             at = max(at, _statement_end(data, min(where, len(data)))) if s.status == "rejected" else max(at, where)
         yield s
 
 
+def piece_rows(data: bytes, width: int) -> Iterator[list[tuple[str, str | None]] | None]:
+    """Rows of a range that outline() gave; None for one wider than the statement's own columns."""
+    at = 0
+    while at < len(data) and data[at : at + 1] == b"(":
+        row, at = _tuple(data, at + 1)
+        yield None if width and len(row) > width else row
+        at = _blank(data, at)
+        if data[at : at + 1] != b",":
+            return
+        at = _blank(data, at + 1)
+
+
+def statements(data: bytes, wanted: Callable[[str, list[str]], bool] | None = None, links: bool = True) -> Iterator[Statement]:
+    """The statements of outline() with their rows. One whose rows are all too wide keeps none and is rejected."""
+    for s in outline(data, wanted, links):
+        for _, a, b in s.pieces:
+            for row in piece_rows(data[a:b], len(s.columns)):
+                if row is None:
+                    s.surplus += 1
+                else:
+                    s.rows.append(row)
+        if s.surplus and not s.rows and s.status in ("ok", "cut"):
+            s.status, s.reason = "rejected", "all rows are wider than the columns"
+        yield s
+
+
 ROWS = "path string, offset long, row long, table string, columns array<string>, cells array<struct<kind:string,text:string>>"
 REPORTS = "path string, offset long, line long, table string, columns array<string>, status string, reason string, quiet boolean, n_rows long, n_surplus long"
 _BATCH = 5_000
+_PIECES = "path string, offset long, first long, table string, columns array<string>, body binary"
 
 
-def read_rows(files: DataFrame, wanted: Callable[[str, list[str]], bool] | None = None) -> DataFrame:
-    """Rows of all statements of files (path, content)."""
+def row_pieces(path: str, data: bytes, wanted=None) -> Iterator[tuple]:
+    """(path, offset, number of the first row, table, columns, bytes) of the rows of a file, piece by piece."""
+    for s in outline(data, wanted):
+        for first, a, b in s.pieces:
+            yield path, s.offset, first, s.table, s.columns, data[a:b]
 
-    def run(batches):
-        for path, data in _files(batches):
-            held = []
-            for s in statements(data, wanted):
-                for k, row in enumerate(s.rows):
-                    held.append((path, s.offset, k, s.table, s.columns, [{"kind": c, "text": t} for c, t in row]))
-                    if len(held) >= _BATCH:
-                        yield _rows(held)
-                        held = []
-            if held:
+
+def _parsed(pieces) -> Iterator[pa.RecordBatch]:
+    """Rows of pieces, given out as they are parsed."""
+    held = []
+    for path, offset, first, table, columns, body in pieces:
+        for k, row in enumerate(piece_rows(body, len(columns))):
+            if row is None:
+                continue
+            held.append((path, offset, first + k, table, columns, [{"kind": c, "text": t} for c, t in row]))
+            if len(held) >= _BATCH:
                 yield _rows(held)
+                held = []
+    if held:
+        yield _rows(held)
+
+
+def read_rows(files: DataFrame, wanted: Callable[[str, list[str]], bool] | None = None, spread: int = 0) -> DataFrame:
+    """Rows of all statements of files (path, content); row is the place of the tuple in its statement.
+
+    With ``spread`` the pieces of rows are dealt out to so many partitions before values are parsed, for a few large files.
+    """
+    source = files.select("path", F.col("content").cast("binary").alias("content"))
+
+    def whole(batches):
+        yield from _parsed(piece for path, data in _files(batches) for piece in row_pieces(path, data, wanted))
+
+    return dealt(source, lambda path, data: row_pieces(path, data, wanted), spread) if spread else source.mapInArrow(whole, ROWS)
+
+
+def dealt(source: DataFrame, pieces_of: Callable, spread: int) -> DataFrame:
+    """Rows of files by way of a shuffle of their pieces."""
+
+    def cut(batches):
+        for path, data in _files(batches):
+            for p in pieces_of(path, data):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(p, _PIECE_TYPES, strict=True)], names=[x.split()[0] for x in _PIECES.split(", ")])
+
+    def parse(batches):
+        yield from _parsed(tuple(r.values()) for batch in batches for r in batch.to_pylist())
 
-    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, ROWS)
+    pieces = source.mapInArrow(cut, _PIECES)
+    return pieces.repartition(spread, F.xxhash64("path", "offset", "first")).mapInArrow(parse, ROWS)
 
 
 def read_reports(files: DataFrame, wanted: Callable[[str, list[str]], bool] | None = None) -> DataFrame:
@@ -321,6 +461,7 @@ def read_reports(files: DataFrame, wanted: Callable[[str, list[str]], bool] | No
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, REPORTS)
 
 
+_PIECE_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.binary()]
 _REPORT_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
 _ROW_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))]
 

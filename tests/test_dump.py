@@ -73,3 +73,39 @@ def test_odd_quotes_stay_linear():
     began = time.time()
     t = parse("a,b\n" + '"x,y\n' * 100_001)
     assert time.time() - began < 10 and (t is None or t.dropped)
+
+
+def fates(text):
+    return [(s.table, s.status, [[c[1] for c in r] for r in s.rows]) for s in statements(text.encode())]
+
+
+def test_bounds_of_statements():
+    # an open literal runs to the end; identifiers don't start with digits; a semicolon ends a body at any depth
+    assert fates("SELECT 'abc; INSERT INTO x VALUES (1);") == []
+    assert [f[1] for f in fates("INSERT INTO 5t VALUES (1);")] == ["rejected"]
+    assert fates("INSERT INTO t VALUES (1),(2;\nINSERT INTO u VALUES (3);") == [("t", "cut", [["1"]]), ("u", "ok", [["3"]])]
+    assert fates("INSERT INTO t VALUES (1),(2),;INSERT INTO u VALUES ([a;b], $q$;)$q$);")[0][:2] == ("t", "cut")
+    assert fates("INSERT INTO u VALUES (x[1;2]), (3);") == [("u", "ok", [["x[1;2]"], ["3"]])]
+    # a line comment ends a value
+    assert fates("INSERT INTO t VALUES (1 -- one\n, 2);") == [("t", "ok", [["1", "2"]])]
+    assert fates("INSERT INTO t VALUES (0),(1 -- one\n + 2);")[0][1] == "rejected"
+    assert fates("INSERT INTO t VALUES (f(1 -- 2, 3\n));") == [("t", "ok", [["f(1 -- 2, 3\n)"]])]
+    # all rows too wide
+    assert fates("INSERT INTO t (a) VALUES (1,2),(3,4);") == [("t", "rejected", [])]
+
+
+def test_web_address_for_the_keyword():
+    text = "-- http://a.b t VALUES (0)\nhttps://x.example/q?1 `t` (a, b) VALUES (1, 'x;'), (2, 'y');\nsee http://x.example t VALUE (3); CREATE TABLE http://x t (a int);"
+    assert fates(text) == [("t", "ok", [["1", "x;"], ["2", "y"]])]
+    assert list(statements(text.encode(), links=False)) == []
+
+
+def test_pieces_hold_all_rows(monkeypatch):
+    from sluice.sources import insert_dump
+
+    monkeypatch.setattr(insert_dump, "PIECE", 40)
+    text = "INSERT INTO t (a, b) VALUES " + ", ".join(f"({k}, 'v''{k}(),;')" if k % 7 else f"({k}, /* odd */ f({k}, [x;y]))" for k in range(200)) + ";INSERT INTO u VALUES (1)"
+    (s, u) = insert_dump.outline(text.encode())
+    assert len(s.pieces) > 20 and (s.status, u.status) == ("ok", "ok")
+    got = [(first + k, row[0][1]) for first, a, b in s.pieces for k, row in enumerate(insert_dump.piece_rows(text.encode()[a:b], 2))]
+    assert got == [(k, str(k)) for k in range(200)]
