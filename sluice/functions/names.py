@@ -19,17 +19,15 @@ from pyspark.sql import functions as F
 SEPARATORS = ("", "_", "-", ".", " ", "__")
 #: Compact names that never match.
 STOP_NAMES = ("productname", "filename", "displayname", "orderstate", "filehash", "settings")
-#: Default dictionary, terms found anywhere in a name. Longer lists are passed as a parameter.
+#: Our own short default dictionary, terms found anywhere in a name. A complete one is a parameter: see load_terms().
 DEFAULT_TERMS = tuple(
-    """name nm user usr cust client contact owner person people member acc prof emp staff admin author buyer vendor visitor holder
-    guest student patient applicant subscriber billing nick maiden alias handle login pass pwd psw hash salt md5 sha crypt argon
-    mail emal eml correo tel phone mobile cell msisdn whatsapp fax_no zip post_code pcode po_box pin cp addr street city cities town village
-    suburb district region province county municipality state country countries ctry line1 line2 line3 dob d_o_b date_of_birth birth born yob gender
-    sex ssn tin iin inn ein nik npwp pan dni nie cif curp rfc cnic pesel nhs aadhaar aadhar passport paspor visa national_id natid id_card
-    identity_card driver_license driver_licence drivinglicence dl_number licenceno sim_no cedula usuario nombre apell ape clave contrasena
-    fecha_nacimiento direccion calle ciudad barrio pais utilisateur adresse rue ville courriel mdp naissance nom strasse stadt plz geschlecht
-    nama alamat surel sandi lahir kota jalan hp имя фам отч фио тел почта пароль хеш соль адрес улица город дом паспорт снилс огрн инн иин
-    дата_рождения пол логин клиент юзер прізвище імя пошта пароль 姓 名 用户 客户 联系人 邮箱 密码 手机 电话 地址 城市 国家 护照 生日 性别 账号""".split()
+    """name nm user usr cust customer client contact owner person people member acc account prof profile emp employee staff admin author buyer vendor visitor
+    holder guest student patient applicant subscriber billing nick alias login pass pwd hash salt crypt mail emal correo tel phone mobile cell whatsapp
+    zip post_code postal po_box addr street city town village district region province county state country dob date_of_birth birth born gender sex
+    ssn tin iin inn npwp pan dni curp pesel aadhaar passport pasporte paspor visa national_id id_card driver_license cedula usuario nombre apellido clave
+    fecha_nacimiento direccion calle ciudad pais utilisateur adresse rue ville courriel naissance strasse stadt plz geschlecht
+    nama alamat surel sandi lahir kota jalan hp имя фамилия фам отчество фио тел почта пароль хеш адрес улица город дом паспорт снилс огрн инн иин
+    дата_рождения пол логин клиент імя прізвище пошта 姓 名 用户 客户 联系人 邮箱 密码 手机 电话 地址 城市 国家 护照 生日 性别 账号""".split()
 )
 #: Endings of reference columns, document identifiers found anywhere, and short ones found as whole parts.
 ID_ENDINGS = ("identifier", "uuid", "guid", "id")
@@ -41,6 +39,12 @@ MAX_UNITS = 251
 _SEPARATOR = r"[\s_.\-]+"
 
 
+def load_terms(path: str) -> tuple[str, ...]:
+    """A dictionary from a text file: one term a line, ``#`` begins a comment; blank lines don't count."""
+    with open(path, encoding="utf-8-sig") as f:
+        return tuple(dict.fromkeys(t for line in f if (t := line.split("#", 1)[0].strip())))
+
+
 @lru_cache(maxsize=8)
 def spellings(terms: tuple[str, ...] = DEFAULT_TERMS) -> tuple[str, ...]:
     """All terms with all separators, sorted."""
@@ -102,6 +106,11 @@ def is_document(name: str) -> bool:
     return any(stem.endswith(e) and stem[: -len(e)].endswith(tuple(DOCUMENT_PARTS)) for e in ID_ENDINGS)
 
 
+def table_wanted(terms: tuple[str, ...] = DEFAULT_TERMS):
+    """A predicate (table, columns) for readers: whether the table carries personal data."""
+    return lambda table, columns: name_matches(table or "", terms) or columns_match(columns, terms)
+
+
 def columns_match(names: list[str] | None, terms: tuple[str, ...] = DEFAULT_TERMS, least: int = 2) -> bool:
     """Whether at least ``least`` distinct columns (trimmed, by lower case) carry personal data."""
     firsts: dict[str, str] = {}
@@ -135,6 +144,19 @@ def file_base(name: Column, empty: str = "table") -> Column:
     return F.when(safe == "", F.lit(empty)).when(stem.isin(*RESERVED), F.concat(F.lit("_"), safe)).otherwise(safe)
 
 
+def safe_base(name: str | None, empty: str = "table") -> str:
+    """file_base() for one string."""
+    safe = re.sub(r'[<>:"/\\|?*\x00-\x1f\x7f-\x9f]', "_", name or "").rstrip(" .")
+    if not safe:
+        return empty
+    return f"_{safe}" if safe.split(".", 1)[0].upper() in RESERVED else safe
+
+
+def sheet_base(book: str, sheet: str) -> str:
+    """File base of a sheet: that of its book and its own."""
+    return f"{safe_base(book, 'book')}_{safe_base(sheet, 'sheet')}"
+
+
 def limited(name: str, suffix: str = "", units: int = MAX_UNITS) -> str:
     """A file base of at most ``units`` UTF-16 units: a longer one keeps a prefix, ``~`` and 16 hex digits of its sha256."""
     size = lambda s: len(s.encode("utf-16-le", "surrogatepass")) // 2
@@ -145,11 +167,20 @@ def limited(name: str, suffix: str = "", units: int = MAX_UNITS) -> str:
     return out + tail
 
 
-def limited_ascii(name: Column, units: int = MAX_UNITS) -> Column:
-    """limited() as a Column, for names within the Basic Multilingual Plane."""
-    return F.when(F.char_length(name) <= units, name).otherwise(F.concat(F.substring(name, 1, units - 17), F.lit("~"), F.substring(F.sha2(name, 256), 1, 16)))
+def limited_name(name: Column, suffix: Column | str = "", units: int = MAX_UNITS) -> Column:
+    """limited() as a Column, for all code points: those beyond the Basic Multilingual Plane take two units."""
+    suffix = F.lit(suffix) if isinstance(suffix, str) else suffix
+    marks = lambda x: F.regexp_replace(x, r"[\x{10000}-\x{10FFFF}]", "..")
+    length = F.char_length(marks(name)) + F.char_length(marks(suffix))
+    tail = F.concat(F.lit("~"), F.substring(F.sha2(name, 256), 1, 16), suffix)
+    room = F.greatest(F.lit(units) - F.char_length(marks(tail)), F.lit(0))
+    # the longest prefix that fits: drop as many code points as units are over, counted over the prefix's wide ones
+    points = F.split(F.substring(name, F.lit(1), room), "")
+    took = F.aggregate(points, F.struct(F.lit(0).alias("u"), F.lit(0).alias("k")), lambda s, c: F.when(s["u"] + F.char_length(marks(c)) <= room, F.struct((s["u"] + F.char_length(marks(c))).alias("u"), (s["k"] + 1).alias("k"))).otherwise(F.struct((room + 1).alias("u"), s["k"].alias("k"))), lambda s: s["k"])
+    short = F.when(room > 0, F.substring(name, F.lit(1), took)).otherwise("")
+    return F.when(length <= units, F.concat(name, suffix)).otherwise(F.concat(short, tail))
 
 
 def part_name(stem: Column, part: Column) -> Column:
-    """Name of a split part: the first keeps the stem, others get ``_n``."""
-    return F.when(part <= 1, stem).otherwise(F.concat_ws("_", stem, part.cast("string")))
+    """Name of a split part: the first keeps the stem, others get ``_n``, within the limit of names."""
+    return F.when(part <= 1, limited_name(stem)).otherwise(limited_name(stem, F.concat(F.lit("_"), part.cast("string"))))

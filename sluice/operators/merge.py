@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.names import file_base
+from sluice.functions.names import file_base, limited_name
+from sluice.operators.stored import stored
 
 KEY = ("dir", "base")
 
 
 def keyed(rows: DataFrame) -> DataFrame:
-    """Adds base to rows with dir and table."""
-    return rows.withColumn("base", file_base(F.col("table")))
+    """Adds base, the name of the key's file, to rows with dir and table."""
+    return rows.withColumn("base", limited_name(file_base(F.col("table"))))
 
 
 def cell_texts(cells: Column) -> Column:
@@ -29,20 +30,39 @@ def first_schema(rows: DataFrame) -> DataFrame:
     return got.select(*KEY, F.when(has, F.col("f.columns")).alias("header"), F.when(has, F.size("f.columns")).otherwise(F.col("f.n")).alias("width"))
 
 
+def heads(reports: DataFrame) -> DataFrame:
+    """(dir, base, header, width) of each key from reports with dir: its first unit in (path, offset) order that gave rows, or columns alone.
+
+    Reports are one row a unit, so nothing is parsed or shuffled again for the keys' widths.
+    """
+    fine = keyed(reports).where(F.col("status").isin("ok", "cut") & F.col("width").isNotNull())
+    first = F.min_by(F.struct("columns", "width"), F.struct("path", "offset"))
+    got = fine.groupBy(*KEY).agg(first.alias("f"))
+    return got.select(*KEY, F.when(F.size("f.columns") > 0, F.col("f.columns")).alias("header"), F.col("f.width").alias("width"))
+
+
 def padded(values: Column, width: Column) -> Column:
-    return F.concat(values, F.array_repeat(F.lit(""), F.greatest(width - F.size(values), F.lit(0))))
+    return F.concat(values, F.array_repeat(F.lit(""), F.greatest(width.cast("int") - F.size(values), F.lit(0))))
 
 
-def merged(rows: DataFrame) -> DataFrame:
+def merged(rows: DataFrame, schema: DataFrame | None = None) -> DataFrame:
     """dir, base, header, width, path, offset, row, values: rows of a key padded to its width, wider ones left out.
 
-    The schema side has one row for each key and is joined by Spark's own choice (broadcast if small).
+    The schema (heads() or, from the rows alone, first_schema()) has one row for each key and is joined by Spark's own choice.
     """
     df = keyed(rows) if "base" not in rows.columns else rows
-    met = df.join(first_schema(df), list(KEY)).where(F.size("cells") <= F.col("width"))
+    met = df.join(first_schema(df) if schema is None else schema, list(KEY)).where(F.size("cells") <= F.col("width"))
     return met.select(*KEY, "header", "width", "path", "offset", "row", padded(cell_texts(F.col("cells")), F.col("width")).alias("values"))
 
 
+def too_wide(rows: DataFrame, schema: DataFrame) -> DataFrame:
+    """Rows lost to their key's width: (dir, base, path, offset, n_lost, n_rows); a unit that lost all is rejected."""
+    df = keyed(rows) if "base" not in rows.columns else rows
+    lost = F.sum((F.size("cells") > F.col("width")).cast("long"))
+    got = df.join(schema, list(KEY)).groupBy(*KEY, "path", "offset").agg(lost.alias("n_lost"), F.count(F.lit(1)).alias("n_rows"))
+    return got.where("n_lost > 0").withColumn("rejected", F.col("n_lost") == F.col("n_rows"))
+
+
 def refused_targets(targets: DataFrame) -> DataFrame:
     """Of producers (target, rank, path) of one target all but the first source are refused; returns those."""
     first = targets.groupBy("target").agg(F.min(F.struct("rank", "path")).alias("f"))
@@ -63,11 +83,12 @@ def ordered(df: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
     """Adds part (1, 2, ...) of at most ``size`` rows by order within keys.
 
-    Counts by range partition and prefix sums number rows without bringing a key into one task.
+    Counts by range partition and prefix sums number rows without bringing a key into one task. Ties in the order may fall either way.
     """
-    ranged = df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id())
+    # range bounds are sampled anew in each run, so the partition of a row is written down once
+    ranged = stored(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()), "ranged")
     within = Window.partitionBy("_p", *keys).orderBy(*order)
     counts = ranged.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.withColumn("_b", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_c")) if keys else counts.withColumn("_b", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c"))
+    before = counts.withColumn("_b", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_c"))
     out = ranged.withColumn("_r", F.row_number().over(within)).join(before.drop("_c"), [*keys, "_p"])
     return out.withColumn("part", F.floor((F.col("_r") + F.col("_b") - 1) / size) + 1).drop("_p", "_r", "_b")

@@ -88,7 +88,7 @@ def file_base_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def name_limit_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of up to 400 characters, limited with a hash."""
     long = F.repeat("p_brand", (F.pmod("p_partkey", F.lit(60)) + 1).cast("int"))
-    return _table(spark, sf_dir, "part").select("p_partkey", names.limited_ascii(long).alias("base"))
+    return _table(spark, sf_dir, "part").select("p_partkey", names.limited_name(long).alias("base"))
 
 
 def csv_encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +174,6 @@ ORACLE_SQL: dict[str, str] = {
     "line_records_documents": r"""SELECT doc_id, generate_subscripts(ls, 1) - 1 AS k, unnest(ls) AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(\n[ \t\x0b\f]*)+$', '') AS t FROM documents) WHERE regexp_replace(t, '[ \t\x0b\f]', '', 'g') <> '')""",
     "delimiter_sniff": "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS delimiter, CAST(3 AS BIGINT) AS n_fields FROM nation",
     "state_antijoin": "SELECT DISTINCT c_mktsegment AS top_folder, stage FROM customer, (VALUES ('convert'), ('split')) s(stage) WHERE NOT (stage = 'convert' AND c_mktsegment < 'C')",
-    "folder_summary": "WITH u AS (SELECT CAST(user_id % 50 AS VARCHAR) AS top_folder, CASE WHEN event_id % 7 = 0 THEN ['created', 'skipped', 'rejected', 'failed'][CAST(event_id % 97 % 4 + 1 AS INT)] ELSE 'created' END AS o FROM events), c AS (SELECT top_folder, count(*) AS n_units, count(*) FILTER (o = 'created') AS n_created, count(*) FILTER (o = 'skipped') AS n_skipped, count(*) FILTER (o = 'rejected') AS n_rejected, count(*) FILTER (o = 'failed') AS n_failed FROM u GROUP BY 1) SELECT *, CASE WHEN n_failed > 0 THEN 'failed' WHEN n_rejected > 0 THEN 'partial' WHEN n_created > 0 THEN 'created' WHEN n_skipped > 0 THEN 'skipped' ELSE 'empty' END AS result FROM c",
+    "folder_summary": "WITH u AS (SELECT CAST(user_id % 50 AS VARCHAR) AS top_folder, CASE WHEN event_id % 7 = 0 THEN ['created', 'skipped', 'rejected', 'failed'][CAST(event_id % 97 % 4 + 1 AS INT)] ELSE 'created' END AS o FROM events), c AS (SELECT top_folder, count(*) AS n_units, count(*) FILTER (o = 'created') AS n_created, count(*) FILTER (o = 'skipped') AS n_skipped, 0::BIGINT AS n_unwanted, count(*) FILTER (o = 'rejected') AS n_rejected, count(*) FILTER (o = 'failed') AS n_failed FROM u GROUP BY 1) SELECT *, CASE WHEN n_failed > 0 THEN 'failed' WHEN n_rejected > 0 THEN 'partial' WHEN n_created > 0 THEN 'created' WHEN n_skipped > 0 THEN 'skipped' ELSE 'empty' END AS result FROM c",
     "collision_reject": "SELECT target, rank, path FROM (SELECT p_brand AS target, CAST(p_size % 3 AS BIGINT) AS rank, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS path, row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 3, p_partkey) AS k FROM part) WHERE k > 1",
 }

