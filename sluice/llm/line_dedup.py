@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.util import SPACE, saved
+from sluice.llm.util import SPACE, Scratch, saved
 
 MIN_WORDS = 30
 #: Where lines end. The break itself stays with the line before it.
@@ -75,8 +75,12 @@ def _longer(x: Column, s: Column | None, e: Column | None) -> Column:
 
 
 def ranges(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """row and the line ranges to delete, for rows that have any; ranges of a row do not meet."""
-    windows = saved(_hashed(docs, min_words), "windows")
+    """row and the line ranges to delete, for rows that have any, as a written table; ranges of a row do not meet."""
+    with Scratch(docs.sparkSession) as scratch:
+        return saved(_ranges(scratch.saved(_hashed(docs, min_words), "windows")), "ranges")
+
+
+def _ranges(windows: DataFrame) -> DataFrame:
     marks = windows.select("row", F.explode("windows").alias("m")).select("row", "m.w", "m.s", "m.e")
     first = marks.groupBy("w").agg(F.min(F.struct("row", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "first")
     later = marks.join(first, "w").where(F.struct("row", "s") > F.col("first"))
@@ -93,11 +97,13 @@ def deduped(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Columns of docs with text cut, and n_lines, n_deleted."""
     cut = ranges(docs, min_words)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    keyed = docs.select(*columns, _row().alias("_row"))
-    both = keyed.join(cut.withColumnRenamed("row", "_row").hint("shuffle_hash"), "_row", "left")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    both = both.withColumn("_l", lines(text))
-    kept = F.filter("_l", lambda x, i: ~F.exists("ranges", lambda r: (r["s"] <= i) & (i < r["e"])))
-    both = both.withColumn("_k", F.when(F.col("ranges").isNotNull(), kept).otherwise(F.col("_l")))
-    new = F.when(F.col("ranges").isNotNull(), F.array_join("_k", "")).otherwise(F.col("text"))
-    return both.select(*[new.alias("text") if c == "text" else F.col(c) for c in columns], F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size("_k")).cast("long").alias("n_deleted"))
+    # the columns of docs go as one struct, whatever their names
+    keyed = docs.select(F.struct(*columns).alias("doc"), _row().alias("row"))
+    both = keyed.join(cut.hint("shuffle_hash"), "row", "left")
+    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
+    both = both.withColumn("ls", lines(text))
+    kept = F.filter("ls", lambda x, i: ~F.exists("ranges", lambda r: (r["s"] <= i) & (i < r["e"])))
+    both = both.withColumn("ks", F.when(F.col("ranges").isNotNull(), kept).otherwise(F.col("ls")))
+    new = F.when(F.col("ranges").isNotNull(), F.array_join("ks", "")).otherwise(F.col("doc.text"))
+    n_lines, n_kept = F.size("ls"), F.size("ks")
+    return both.select(*[new.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in columns], n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_deleted"))
