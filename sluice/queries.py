@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice import ingest_queries
 from sluice.functions import names
 from sluice.operators import merge, split, state
 from sluice.sources import insert_dump, tabular
@@ -64,20 +65,23 @@ def insert_width_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merged(rows).select(*[F.element_at("values", i + 1).alias(c) for i, c in enumerate("abc")])
 
 
-_NAMES = ["users", "order_state", "OrderState", "customer_email", "settings", "user_id", "customerGuid", "company_id", "passport_no", "ssn_id", "e-mail", "line3", "created_at", "product_name", "фамилия", "ИНН", "emailvalid", "userid2", "zip code", "qty", "", "file.hash"]
-_TABLES = [("orders", "id,status,created_at"), ("t", "email"), ("t2", "email,phone"), ("t3", "user_id,email"), ("docs", "national_id,email"), ("ids", "passport_id,ssn_id"), ("u", "email,EMAIL"), ("u2", "email,e_mail"), ("customers", ""), ("audit", "id,email1,phone"), ("x", "company_id,settings_id")]
+#: Names and whether they carry personal data, tables' columns and whether they do; judged by hand.
+_NAMES = [("users", True), ("order_state", False), ("OrderState", False), ("customer_email", True), ("settings", False), ("user_id", True), ("customerGuid", True), ("passport_no", True), ("ssn_id", True), ("e-mail", True), ("created_at", False), ("product_name", False), ("product name", False), ("фамилия", True), ("ИНН", True), ("emailvalid", True), ("zip code", True), ("qty", False), ("", False), ("file.hash", False), ("hash", True), ("date-of birth", True), ("date__of__birth", True), ("DateOfBirth", True), ("价格", False), ("姓名", True)]
+_TABLES = [("id,status,created_at", False), ("email", False), ("email,phone", True), ("user_id,email", False), ("national_id,email", True), ("passport_id,ssn_id", True), ("email,EMAIL", False), ("email,e_mail", True), ("id,email1,phone", True), ("userId2,email", False), ("customer_uuid,phone", False), ("employeeid,accountid,email", False), ("emailvalid,phoneNo", True), ("customer_ids,email", True), ("driverLicenseId,qty,phone", True), ("settings,email,productname", False)]
 
 
 def names_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dictionary matches of names, given and those of the standard tables' columns."""
-    seen = [*_NAMES, *_table(spark, sf_dir, "customer").columns]
-    return spark.createDataFrame([(x,) for x in seen], "name string").select("name", names.matches(F.col("name")).alias("personal"))
+    """Dictionary matches of names."""
+    k = F.col("p_partkey") % len(_NAMES) + 1
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in _NAMES]), k.cast("int"))
+    return _table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).select("p_partkey", "name", names.matches(F.col("name")).alias("personal"))
 
 
 def tables_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on tables by table name or at least two columns."""
-    df = spark.createDataFrame(_TABLES, "name string, columns string")
-    return df.select("name", "columns", names.columns_match_udf()(F.split("columns", ",")).alias("by_columns"))
+    """Verdicts on tables by at least two columns."""
+    k = F.col("p_partkey") % len(_TABLES) + 1
+    columns = F.element_at(F.array(*[F.lit(c) for c, _ in _TABLES]), k.cast("int"))
+    return _table(spark, sf_dir, "part").select("p_partkey", columns.alias("columns")).select("p_partkey", "columns", names.columns_match_udf()(F.split("columns", ",")).alias("by_columns"))
 
 
 def file_base_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +122,9 @@ def delimiter_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delimiter and field count of rendered header lines."""
     n = _table(spark, sf_dir, "nation")
     pick = F.element_at(F.array(F.lit(","), F.lit(";"), F.lit("\t")), (F.col("n_nationkey") % 3 + 1).cast("int"))
-    lines = n.select("n_nationkey", F.concat_ws("|", F.lit("name"), F.col("n_name"), F.lit("key")).alias("l")).select("n_nationkey", F.replace("l", F.lit("|"), pick).alias("line"))
+    # other delimiters stand inside quotes, and every fourth line has an empty field
+    l = F.concat_ws("|", F.lit('"a,b;c;d"'), F.col("n_name"), F.when(F.col("n_nationkey") % 4 == 0, "").otherwise("key"), F.repeat(F.lit("x|"), (F.col("n_nationkey") % 5).cast("int")), F.lit("z"))
+    lines = n.select("n_nationkey", l.alias("l")).select("n_nationkey", F.replace("l", F.lit("|"), pick).alias("line"))
 
     def run(batches):
         for b in batches:
@@ -152,28 +158,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (insert_roundtrip_orders, insert_merge_places, insert_width_rules, names_match, tables_match, file_base_urls, name_limit_hash, csv_encode_documents, split_part_sizes, split_gate, line_records_documents, delimiter_sniff, state_antijoin, folder_summary, collision_reject)
 }
+QUERIES |= ingest_queries.QUERIES
 
 
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in r) + ")" for r in rows)
 
-
-_FOUND = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in names.spellings()) + "]"
-_BY_COLUMNS = {"t2": 1, "docs": 1, "ids": 1, "u2": 1, "audit": 1}
+_LABELLED = lambda rows: ", ".join(f"({k}, '{n}', {str(y).lower()})" for k, (n, y) in enumerate(rows))
 ORACLE_SQL: dict[str, str] = {
     "insert_roundtrip_orders": "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) AS o_cents, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders",
     "insert_merge_places": "SELECT 'place' AS base, 'id,name' AS header, '/in/place_00001.sql' AS path, row_number() OVER (ORDER BY r_regionkey) - 1 AS row, CAST(r_regionkey AS VARCHAR) AS id, r_name AS name FROM region UNION ALL SELECT 'place', 'id,name', '/in/place_00002.sql', row_number() OVER (ORDER BY n_nationkey) - 1, CAST(n_nationkey AS VARCHAR), n_name FROM nation",
     "insert_width_rules": "SELECT CAST(p_partkey AS VARCHAR) AS a, CASE WHEN p_partkey % 4 >= 1 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS b, CASE WHEN p_partkey % 4 >= 2 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS c FROM part WHERE p_partkey % 4 < 3",
-    "names_match": f"WITH n(name) AS (SELECT * FROM (VALUES {_values([(x,) for x in _NAMES])}) v(name) UNION ALL SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment'])) SELECT name, NOT list_contains({list(names.STOP_NAMES)}, regexp_replace(lower(name), '[\\s_.\\-]+', '', 'g')) AND len(list_filter({_FOUND}, lambda t: contains(lower(name), t))) > 0 AS personal FROM n",
-    "tables_match": f"SELECT name, columns, name IN ({', '.join(repr(k) for k in _BY_COLUMNS)}) AS by_columns FROM (VALUES {_values(_TABLES)}) v(name, columns)",
+    "names_match": f"SELECT p_partkey, n AS name, y AS personal FROM part JOIN (VALUES {_LABELLED(_NAMES)}) v(k, n, y) ON k = p_partkey % {len(_NAMES)}",
+    "tables_match": f"SELECT p_partkey, n AS columns, y AS by_columns FROM part JOIN (VALUES {_LABELLED(_TABLES)}) v(k, n, y) ON k = p_partkey % {len(_TABLES)}",
     "file_base_urls": r"""SELECT page_id, CASE WHEN b = '' THEN 'table' WHEN upper(split_part(b, '.', 1)) IN ('CON', 'PRN', 'AUX', 'NUL') OR regexp_matches(upper(split_part(b, '.', 1)), '^(COM|LPT)[1-9]$') THEN '_' || b ELSE b END AS base FROM (SELECT page_id, regexp_replace(regexp_replace(coalesce(url, ''), '[<>:"/\\|?*\x00-\x1f\x7f-\x{9f}]', '_', 'g'), '[ .]+$', '') AS b FROM pages)""",
     "name_limit_hash": "SELECT p_partkey, CASE WHEN length(n) <= 251 THEN n ELSE substr(n, 1, 234) || '~' || substr(sha256(n), 1, 16) END AS base FROM (SELECT p_partkey, repeat(p_brand, CAST(p_partkey % 60 + 1 AS INT)) AS n FROM part)",
     "csv_encode_documents": """SELECT doc_id, '"' || CAST(doc_id AS VARCHAR) || '","' || replace(coalesce(source, ''), '"', '""') || '","' || replace(coalesce(text, ''), '"', '""') || '"' || chr(10) AS line FROM documents""",
     "split_part_sizes": "SELECT part, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 4000 + 1 AS part FROM orders) GROUP BY part",
     "split_gate": "SELECT l_returnflag, CASE WHEN count(*) > 20000 THEN CAST(ceil(count(*) / 10000.0) AS BIGINT) ELSE 1 END AS n_parts FROM lineitem GROUP BY l_returnflag",
     "line_records_documents": r"""SELECT doc_id, generate_subscripts(ls, 1) - 1 AS k, unnest(ls) AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(\n[ \t\x0b\f]*)+$', '') AS t FROM documents) WHERE regexp_replace(t, '[ \t\x0b\f]', '', 'g') <> '')""",
-    "delimiter_sniff": "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS delimiter, CAST(3 AS BIGINT) AS n_fields FROM nation",
+    "delimiter_sniff": "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS delimiter, CAST(5 + n_nationkey % 5 AS BIGINT) AS n_fields FROM nation",
     "state_antijoin": "SELECT DISTINCT c_mktsegment AS top_folder, stage FROM customer, (VALUES ('convert'), ('split')) s(stage) WHERE NOT (stage = 'convert' AND c_mktsegment < 'C')",
     "folder_summary": "WITH u AS (SELECT CAST(user_id % 50 AS VARCHAR) AS top_folder, CASE WHEN event_id % 7 = 0 THEN ['created', 'skipped', 'rejected', 'failed'][CAST(event_id % 97 % 4 + 1 AS INT)] ELSE 'created' END AS o FROM events), c AS (SELECT top_folder, count(*) AS n_units, count(*) FILTER (o = 'created') AS n_created, count(*) FILTER (o = 'skipped') AS n_skipped, 0::BIGINT AS n_unwanted, count(*) FILTER (o = 'rejected') AS n_rejected, count(*) FILTER (o = 'failed') AS n_failed FROM u GROUP BY 1) SELECT *, CASE WHEN n_failed > 0 THEN 'failed' WHEN n_rejected > 0 THEN 'partial' WHEN n_created > 0 THEN 'created' WHEN n_skipped > 0 THEN 'skipped' ELSE 'empty' END AS result FROM c",
     "collision_reject": "SELECT target, rank, path FROM (SELECT p_brand AS target, CAST(p_size % 3 AS BIGINT) AS rank, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS path, row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 3, p_partkey) AS k FROM part) WHERE k > 1",
 }
+ORACLE_SQL |= ingest_queries.ORACLE_SQL
