@@ -7,11 +7,13 @@ conditional log-likelihood over labelled pages: ``labelled_pages(n, seed)`` writ
 block, ``TRAIN_PAGES`` of them by default. Pages are independent: one map pass, no shuffle.
 
 Output text: article blocks in page order joined by two line feeds, character references decoded, white space inside a block
-one space, trimmed. Scripts, styles, titles and comments never give blocks.
+one space, trimmed. Scripts, styles, titles, form fields and comments never give blocks; formulas, drawings'
+labels and fallback texts do.
 
 Defined results: null or empty html gives an empty text; pages without article blocks give an empty text; repeated rows are
 alike; broken markup (open tags, stray ends, unfinished comments) is read like browsers do in outline: an open paragraph ends
-at the next block; an empty table gives no rows; columns named as arguments are kept.
+at the next block, a tag whose quotes never close ends at the next ``>``, and so do those behind it; a page is read once, in time linear
+in its length; an empty table gives no rows; columns named as arguments are kept.
 """
 
 from __future__ import annotations
@@ -28,9 +30,14 @@ from pyspark.sql import functions as F
 TRAIN_PAGES = 600
 EPOCHS = 40
 SEED = 7
-#: Elements within a line of text, elements whose content is no text, elements without content.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math select object xmp noembed noframes head".split())
+#: Elements within a line of text (formulas, drawings' labels, and elements that only wrap others among them), elements
+#: whose content is never shown as text (scripts, styles, what stands in the head, form fields), elements without content.
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mspace mstyle mpadded mphantom semantics annotation mtable mtr mtd "
+    "svg g path text tspan object noscript nobr ruby rt rp font picture audio video canvas".split()
+)
+RAW = frozenset("script style title textarea template iframe select noembed noframes head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_ITSELF = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 #: Cue words looked for at the start of words of class, id and role.
@@ -40,9 +47,10 @@ CUES = (
     "pagination pager form login search widget toolbar copyright legal contact tags "
     "article content post entry story main body text page prose"
 ).split()
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*)>", re.DOTALL
-)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL)
+#: The same without heed to quotes, for a page in which a tag's quotes never close.
+_LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)([^>]*)>", re.DOTALL)
+_START = re.compile(r"<[!?/A-Za-z]")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _CUE_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -83,25 +91,43 @@ def blocks(page: str) -> list[Block]:
             if links[0]:
                 links[1] += len(text)
 
-    at, n = 0, len(page)
+    at, n, token, ended = 0, len(page), _TOKEN, page.rfind(">")
+    unclosed: set[str] = set()  # elements whose end is nowhere behind
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
+        start = _START.search(page, at)
+        if not start:
             add(page[at:])
             break
-        add(page[at : m.start()])
+        add(page[at : start.start()])
+        m = token.match(page, start.start())
+        if not m and token is _TOKEN and start.start() < ended:
+            # this tag ends nowhere outside quotes: from here on quotes don't count, so the page is read to its end only once
+            token = _LOOSE
+            m = token.match(page, start.start())
+        if not m:
+            if start.start() > ended:  # no tag ends any more: what is left is text, but for what begins as a tag
+                add(page[start.start() :])
+                break
+            add(page[start.start() : start.start() + 1])
+            at = start.start() + 1
+            continue
         at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        name = (m[2] or "").lower()
         if not name:
             continue
-        ends = bool(m[1] or m[4])
+        ends = bool(m[1])
         if name in RAW and not ends:
-            closing = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            if name == "head" and not closing:  # an open head ends where the body starts
-                closing = re.compile(r"(?=<body\b)", re.IGNORECASE).search(page, at)
-                at = closing.end() if closing else at
+            closing = None if name in unclosed else re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(page, at)
+            close_at = page.find(">", closing.end()) + 1 if closing else 0
+            if not close_at:
+                unclosed.add(name)
+            if name == "head" and not close_at:  # an open head ends where the body starts
+                closing = None if "body" in unclosed else re.compile(r"<body\b", re.IGNORECASE).search(page, at)
+                at = closing.start() if closing else at
+                if not closing:
+                    unclosed.add("body")
             else:
-                at = closing.end() if closing else n
+                at = close_at or n
             continue
         if name == "br":
             add(" ")
@@ -126,7 +152,7 @@ def blocks(page: str) -> list[Block]:
         elif stack and stack[-1][0] == "p":
             stack.pop()
         if len(stack) < 512:  # deeper levels keep their text and count for the level above
-            stack.append((name, _cues(m[3] or m[6] or "")))
+            stack.append((name, _cues(m[3] or "")))
     close()
     return out
 
@@ -134,6 +160,22 @@ def blocks(page: str) -> list[Block]:
 _STRUCTURE = frozenset("article main section aside nav header footer form ul ol li table td blockquote pre figure figcaption h1 h2 h3 h4 p div body button fieldset dl".split())
 
 
+#: Phrases that furniture uses, looked for in short blocks.
+PHRASES = {
+    "cookie": ("cookie", "privacy", "consent", "gdpr"),
+    "subscribe": ("subscribe", "sign up", "newsletter", "log in", "sign in", "register"),
+    "rights": ("©", "copyright", "all rights reserved", "terms of"),
+    "advert": ("advert", "sponsored", "promot", "offers", "% off", "buy now"),
+    "more": ("read more", "related", "see also", "share this", "follow us", "leave a comment", "reply", "posted by", "skip to"),
+}
+SHORT = 25
+
+
+def _says(text: str) -> list[str]:
+    low = text.lower()
+    return [f"says={k}" for k, v in PHRASES.items() if any(x in low for x in v)]
+
+
 def features(found: list[Block]) -> list[list[str]]:
     """Names of each block's features."""
     out = []
@@ -145,6 +187,8 @@ def features(found: list[Block]) -> list[list[str]]:
         f.append("stop" if b.text[-1] in ".!?:;\"')…»" else "no stop")
         if not b.cues and not {"article", "main", "aside", "nav", "footer", "header", "form"} & set(b.above):
             f.append("bare")
+            if words <= SHORT:  # where no tag or name tells, the words may
+                f += _says(b.text)
         out.append(f)
     return out
 
@@ -256,6 +300,10 @@ class _Writer:
         """Something that is not the article."""
         r, k = self.r, self.r.randint(1, 6)
         kind = r.choice("nav menu header footer aside sidebar ad ad notice form comments related share crumbs".split())
+        if r.random() < 0.15:  # furniture that no tag or class names, only what it says
+            said = r.choice(["Sign up now for {}.", "Subscribe to our newsletter {}", "© {} All rights reserved", "Sponsored: {}", "Read more about {}", "We use cookies {}.", "Share this {}", "Log in to {}", "Special offers: {}", "Advertisement {}"])
+            tag = r.choice(["div", "div", "p", "section", "div class=\"c1\"", "div id=\"x7\""])
+            return f"<{tag}>{said.format(self.words(1, 6))}</{tag.split()[0]}>", [0]
         if kind == "nav":
             return f"<nav><ul>{self.links(k)}</ul></nav>", [0] * k
         if kind == "menu":
@@ -272,7 +320,7 @@ class _Writer:
             return f"<{tag}><h3>{self.words(1, 3)}</h3>{body}</{tag.split()[0]}>", [0, *y]
         if kind == "ad":
             body = r.choice([lambda: self.prose(2, 30), lambda: f"<p>{self.prose(2, 30)}</p>"])()
-            return f'<!-- ad --><div {r.choice(["class", "id"])}="{r.choice(["ad", "ads", "advert", "ad-box", "advertisement", "sponsored", "promo", "banner"])}">{body}</div>', [0]
+            return f'{r.choice(["", "<!-- banner " + self.words(1, 2) + " -->"])}<div {r.choice(["class", "id"])}="{r.choice(["ad", "ads", "advert", "ad-box", "advertisement", "sponsored", "promo", "banner"])}">{body}</div>', [0]
         if kind == "notice":
             tag = r.choice(['div class="cookie-notice"', 'div id="cookie-consent"', 'div class="notice"', 'div role="alert"', 'div class="popup"', 'section class="newsletter"'])
             return f"<{tag}><p>{self.prose(4, 30)}</p><button>{self.words(1, 2)}</button></{tag.split()[0]}>", [0, 0]
@@ -292,6 +340,9 @@ class _Writer:
 
     def article(self) -> tuple[str, list[int]]:
         r, out, y = self.r, [], []
+        if r.random() < 0.1:  # an article may speak of such things at length
+            out.append(f"<p>{self.prose(14, 40)} {r.choice(['cookies', 'the copyright', 'offers', 'a newsletter', 'to subscribe'])} {self.prose(14, 40)}</p>")
+            y.append(1)
         if r.random() < 0.85:
             out.append(f"<h1>{self.words(1, 12)}</h1>")
             y.append(1)
@@ -316,14 +367,15 @@ class _Writer:
                 body, more = self.other()
             out.append(body)
             y += more
-        tag = r.choice(["article", "article", "article", "main", 'div class="content"', 'div class="post-body"', 'div id="main-content"', 'section class="story"', 'div class="entry"', ""])
+        tag = r.choice(["article", "article", "article", "main", "div", 'div class="col-8"', 'td', 'div class="content"', 'div class="post-body"', 'div id="main-content"', 'section class="story"', 'div class="entry"', ""])
         return (f"<{tag}>{''.join(out)}</{tag.split()[0]}>" if tag else "".join(out)), y
 
     def page(self) -> tuple[str, list[int]]:
         r = self.r
         pieces = [self.other() for _ in range(r.randint(0, 4))] + [self.article()] * (r.random() < 0.97) + [self.other() for _ in range(r.randint(0, 4))]
-        head = f"<!DOCTYPE html><html><head><title>{self.words(1, 8)}</title><style>p{{margin:0}}</style></head><body>"
-        script = '<script>var t="</p>";</script>' if r.random() < 0.5 else ""
+        style = r.choice(["", f"<style>.{self.words(1, 1)}{{color:#{r.randint(100, 999)}}}</style>", '<link rel="stylesheet" href="/a.css"><meta name="d" content="x > y">'])
+        head = f"{r.choice(['<!DOCTYPE html>', ''])}<html><head><title>{self.words(1, 8)}</title>{style}</head><body>"
+        script = r.choice(["", "<script>if (a < b && c > d) document.write('<p>' + x + '</p>');</script>", f"<noscript></noscript><script type='text/javascript'>/* {self.words(2, 5)} */</script>"])
         return head + script + "".join(p for p, _ in pieces) + ("</body></html>" if r.random() < 0.7 else ""), [x for _, y in pieces for x in y]
 
 

@@ -6,8 +6,7 @@ base span; one is reported if the log-likelihood ratio of the random over the or
 character model is at least ``MIN_RATIO`` a character. Both models are trained from labelled samples over the whole
 corpus: random ones are the values the base patterns found (each distinct value once) and ``SAMPLES`` strings made by
 a rule (base64 of sha256 of numbers), ordinary ones are the
-distinct identifier-like words, runs of letters, digits, ``_`` and ``-`` in the corpus that hold no digit and
-no base match. With add-one smoothing over the ``len(ALPHABET)``-letter alphabet the tables have a fixed size.
+distinct identifier-like words of the corpus: whole tokens of letters, ``_`` and ``-`` that are no value of a base match. With add-one smoothing over the ``len(ALPHABET)``-letter alphabet the tables have a fixed size.
 Only DataFrame functions run: matches come from one regular expression per kind, their places from the
 lengths of what lies between them.
 
@@ -34,7 +33,8 @@ MIN_CHARS = 20
 MIN_RATIO = 0.1
 SAMPLES = 2_000
 CANDIDATE = f"[A-Za-z0-9+/_=-]{{{MIN_CHARS},}}"
-ORDINARY = "[A-Za-z][A-Za-z_-]{7,}"
+#: Whole tokens only: letters within a random string are no identifier.
+ORDINARY = "(?<![A-Za-z0-9+/_=.-])[A-Za-z][A-Za-z_-]{7,}(?![A-Za-z0-9+/_=-])"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET)
 _SPANS = "array<struct<start:int,end:int>>"
@@ -92,7 +92,12 @@ def scanned(docs: DataFrame) -> DataFrame:
     )
     df = df.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), candidates.alias("candidates"), "ordinary")
     free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
-    return df.withColumn("candidates", F.when(F.size("candidates") > 0, free).otherwise(F.col("candidates")))
+    return df.withColumns(
+        {
+            "candidates": F.when(F.size("candidates") > 0, free).otherwise(F.col("candidates")),
+            "ordinary": F.when(F.size("base") > 0, F.array_except("ordinary", F.transform("base", lambda b: F.rtrim(b["value"], F.lit("."))))).otherwise(F.col("ordinary")),
+        }
+    )
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
@@ -149,12 +154,3 @@ def found(docs: DataFrame) -> DataFrame:
 def listed(found_spans: Column) -> Column:
     """kind:start:end of spans in order, comma-joined."""
     return F.array_join(F.transform(F.array_sort(found_spans), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-
-
-def redacted(docs: DataFrame) -> DataFrame:
-    """docs with base secrets in text replaced by [kind]; in the order of KINDS."""
-    text = F.col("text")
-    for kind, (pattern, least) in PATTERNS.items():
-        strict = pattern if kind != "assign" else pattern[:-2] + f"{{{least},}})"
-        text = F.regexp_replace(text, strict, f"[{kind}]")
-    return docs.withColumn("text", text)

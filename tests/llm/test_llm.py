@@ -380,3 +380,72 @@ def test_cutoffs_hold_their_risk(spark):
     assert once == [] and quality.cutoffs(*again).collect() == once
     tail = spark.range(1).select(quality.binomial_tail(F.lit(3).cast("long"), F.lit(100).cast("long"), 0.05)).first()[0]
     assert math.isclose(tail, sum(math.comb(100, i) * 0.05**i * 0.95 ** (100 - i) for i in range(4)), rel_tol=1e-9)
+
+
+def test_secret_models(spark):
+    """Random strings that no rule names are caught, secrets don't train the ordinary model, identifiers stay."""
+    import base64
+
+    made = [base64.b64encode(hashlib.sha256(f"other {k}".encode()).digest()).decode()[: 20 + k % 20].rstrip("=") for k in range(300)]
+    plain = ["getUserAccountSettingsById", "MAX_CONNECTION_POOL_SIZE", "com-example-application-server2", "internationalizationHelper", "/usr/share/documentation/index2"]
+    rows = [(k, f"see {x} and {sentence(k, 30)} handlers processing") for k, x in enumerate(made)]
+    rows += [(1000 + k, f"call {x} for something ordinary like configuration_parser or environment") for k, x in enumerate(plain * 4)]
+    syllables = "con ver ta tion in ter na pro cess ing de ment or able re port er al ly un der stand ex press ive com pu ter get set user name list count max min".split()
+    r = np.random.default_rng(5)
+    rows += [(3000 + k, " ".join(r.choice(["", "_", "-"]).join(r.choice(syllables, size=r.integers(3, 6))) for _ in range(40))) for k in range(200)]
+    rows += [(2000, "password=QwErTyUiOpAsDfGh and token: zXcVbNmLkJhGfDsA plain")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not {w for r in secret_scan.scanned(docs).where("doc_id = 2000").collect() for w in r.ordinary} & {"QwErTyUiOpAsDfGh", "zXcVbNmLkJhGfDsA"}
+    got = {r.doc_id: r for r in secret_scan.found(docs).collect()}
+    assert sum(bool(got[k].extra) for k in range(300)) >= 285
+    assert sum(bool(got[1000 + k].extra) for k in range(20)) == 0 and [b.value for b in got[2000].base] == ["QwErTyUiOpAsDfGh", "zXcVbNmLkJhGfDsA"]
+
+
+def test_long_conversation(spark):
+    """Snapshots of a long conversation, with repeated rows and a null turn, are prefixes of it."""
+    turns = [(None if k == 0 else k, "user" if k % 2 else "bot", f"t{k % 50}") for k in range(3000)]
+    rows = [(1, *t) for t in turns] + [(2, *t) for t in turns[:2999]] + [(3, *t) for t in turns[:1500] * 2] + [(4, *turns[0]), (5, 0, "bot", "t0"), (None, *turns[0]), (None, *turns[1])]
+    got = {r.conv_id: r for r in chat_format.rendered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()}
+    assert set(got) == {1} and got[1].n_turns == 3000 and got[1].text == "".join(f"<|{r}|>\n{x}\n" for _, r, x in turns) + "<|end|>"
+
+
+def test_pages_written_by_hand():
+    """Pages that no generator wrote."""
+    field = html_extract.trained(html_extract.labelled_pages())
+    for page, want in HAND_PAGES:
+        assert html_extract.main_text(page, field).split("\n\n") == want
+
+
+HAND_PAGES = [
+    (
+        """<html><head><title>Bread</title><script>if (1<2) {}</script></head><body><div id="top-nav"><a href="/">Home</a> <a href="/b">Blog</a></div>
+<div class="cookie-banner">We use cookies to improve your visit. <button>OK</button></div>
+<main><h1>Baking bread at home</h1><p>Bread needs flour, water, salt and time. The dough &mdash; once mixed &mdash; rests for an hour.</p>
+<div class="ad-slot"><p>Buy our new oven today!</p></div><p>Formula: <math><mi>w</mi><mo>=</mo><mn>0.7</mn></math> of the flour.</p>
+<ul><li>500 g of flour</li><li>350 g of water</li></ul></main>
+<div class="comments"><h3>Comments</h3><p>Great recipe, thanks!</p></div><footer>&copy; 2020 Bakers. All rights reserved.</footer></body></html>""",
+        ["Baking bread at home", "Bread needs flour, water, salt and time. The dough — once mixed — rests for an hour.", "Formula: w=0.7 of the flour.", "500 g of flour", "350 g of water"],
+    ),
+    (
+        """<body><header><h2>City News</h2></header><nav><ul><li><a href=/s>Sport</a><li><a href=/p>Politics</a></ul></nav>
+<article class=post><h1>Bridge opens after repairs</h1><p>The old bridge was opened again on Monday after two years of work.
+<p>Engineers said that the <b>new cables</b> will last for decades.<blockquote>It was worth the wait, said the mayor.</blockquote></article>
+<aside><h3>Related</h3><ul><li><a href=/1>Road closed</a><li><a href=/2>Tunnel planned</a></ul></aside><form action=/s><input name=q><button>Search</button></form>""",
+        ["Bridge opens after repairs", "The old bridge was opened again on Monday after two years of work.", "Engineers said that the new cables will last for decades.", "It was worth the wait, said the mayor."],
+    ),
+    (
+        """<div><div><p>A plain page has no names at all, but its paragraphs are long enough to be told apart from what surrounds them.</p>
+<p>The second paragraph goes on with the story, and it ends with a full stop.</p></div><div>Sign up now for offers.</div></div>""",
+        ["A plain page has no names at all, but its paragraphs are long enough to be told apart from what surrounds them.", "The second paragraph goes on with the story, and it ends with a full stop."],
+    ),
+]
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    for x in ("<a " * 40_000, "<head>" * 4_000, '<a ">"' * 20_000, "<script " * 9_000, "<!-" * 40_000, "&" * 100_000):
+        began = time.process_time()
+        html_extract.blocks(x)
+        assert time.process_time() - began < 5, x[:6]
+    assert html_extract.extracted is not None
