@@ -32,14 +32,14 @@ class Alphabet:
 PLAIN = Alphabet(bytes(0x20 if 0x09 <= b <= 0x0D else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-_POWERS = _powers(_R, PIECE)
-_BACK = _powers(pow(_R, -1, 1 << 64), PIECE)
+_POWERS = powers(_R, PIECE)
+_BACK = powers(pow(_R, -1, 1 << 64), PIECE)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet = PLAIN) -> tuple[np.ndarray, np.ndarray]:

@@ -2,15 +2,16 @@
 
 Layout below one folder, all Parquet:
 
-* ``rows/kind=chunks`` (key, n_ids, ids): runs of token ids, zstd-packed, each content stored once under the
+* ``rows/kind=chunks`` (key, n_ids, ids): runs of token ids, of 16 bits where they fit, each content stored once under the
   sha256 of its ids as little-endian unsigned 32-bit integers. Chunk borders are content-defined: a chunk ends after an id whose rolling
   hash over the last ``WINDOW`` ids has its high ``BITS`` bits zero if it has ``MIN_IDS`` ids or more, or after ``MAX_IDS`` ids.
 * ``recipes`` (doc_id, n_tokens, ids_crc32, root_sha256, chunks array, part) in ascending doc_id order by
   file: the manifest. ``root_sha256`` is a Merkle root over the document's chunk hashes. ``rows/kind=docs``
   has the same before ordering.
 
-Texts are cut at lone spaces, where the byte-level pre-tokenizer cuts as well, and each distinct piece
-is cut into pre-tokens, each of them encoded once per worker with the tokenizers library; ids equal those of encoding whole texts (tested).
+Texts are cut at lone spaces, where the byte-level pre-tokenizer cuts as well. Pieces are hashed over whole buffers of texts and
+looked up in a worker's table of pieces; each new piece is encoded with the tokenizers library, many in one call. Ids
+equal those of encoding whole texts (tested).
 
 Defined results: null and empty texts give the end id alone; repeated rows and doc_ids each keep a
 recipe; null doc_ids come first; special-token strings inside a text
@@ -30,64 +31,183 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.util import parts, scratch_dir, text_bytes
+from sluice.llm import shingling
+from sluice.llm.shingling import powers
+from sluice.llm.util import mix, parts, scratch_dir, text_bytes
 
 END_ID = 0
 WINDOW = 4
 BITS = 9
 MIN_IDS = 64
 MAX_IDS = 2048
-#: Entries of each of a worker's two caches, of pieces between spaces and of pre-tokens.
-CACHE_PIECES = 450_000
-_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Slots of a worker's table of pieces, and the pieces it holds before it is emptied; longer pieces are encoded each time.
+SLOTS = 1 << 22
+MAX_PIECES = 1_500_000
+MAX_PIECE_IDS = 200
+#: Bytes of text hashed at a time.
+WINDOW_BYTES = 1 << 19
 _MULTIPLIER = 0x9E3779B97F4A7C15
+_SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
+_R = 0xA0761D6478BD642D
+#: Bytes beside which a lone space is surely a place where the pre-tokenizer cuts.
+_SURE = np.array([0x21 <= b <= 0x7E or b >= 0x80 for b in range(256)])
+#: White space beyond ASCII, in UTF-8, and the marks 0x1C to 0x1F: texts that have any are encoded as they are.
+_ODD = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80|[\x1c-\x1f]")
 
 
 class Encoder:
-    """Encodes texts piece by piece; the pieces' ids are cached as bytes."""
+    """Encodes buffers of texts; pieces between lone spaces are encoded once, while the table holds them."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.of: dict[str, bytes] = {}
-        self.of_token: dict[str, bytes] = {}
-        import public_tokenizers
-        import regex
-
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
         #: Strings that the library takes out of a text before it cuts pre-tokens.
-        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        parts = text.split(" ")
-        if "" in parts[1:]:  # runs of spaces or a space at the end: cut at lone spaces only
-            cuts = [m.start() for m in _LONE_SPACE.finditer(text)]
-            return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-        return [parts[0], *map(" ".__add__, parts[1:])]
+        added = {k: str(t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = [x.encode() for x in added.values()]
+        # one character of a byte-level token is one byte
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.bytes_of[k] = len(added[k].encode()) if k in added else len(token)
+        self.powers, self.back = (powers(x, WINDOW_BYTES) for x in (_R, pow(_R, -1, 1 << 64)))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(SLOTS, np.uint64)
+        self.at = np.zeros(SLOTS, np.uint32)
+        self.size = np.zeros(SLOTS, np.uint8)
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.n_pieces = self.n_ids = 0
 
     def __call__(self, text: str) -> bytes:
-        of, pieces = self.of, self.pieces(text)
-        try:
-            return b"".join(map(of.__getitem__, pieces))
-        except KeyError:
-            if len(of) > CACHE_PIECES:
-                of.clear()
-            self._learn([p for p in set(pieces) if p not in of])
-            return b"".join(map(of.__getitem__, pieces))
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of pieces from those of their pre-tokens, where the tokenizer cuts them too."""
-        known, cut = self.of_token, [[p] if any(x in p for x in self.special) else self.pattern.findall(p) for p in new]
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        fresh = list({t for ts in cut for t in ts if t not in known})
-        for t, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[t] = np.array(e.ids, "<u4").tobytes()
-        for p, ts in zip(new, cut, strict=True):
-            self.of[p] = b"".join(map(known.__getitem__, ts))
+        raw = text.encode()
+        return self.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes()
+
+    def direct(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a buffer, and how many each has."""
+        base, end = int(offsets[0]), int(offsets[-1])
+        data = data[base:end]
+        offsets = offsets - base
+        full = np.flatnonzero(np.diff(offsets))
+        counts = np.zeros(len(offsets) - 1, np.int64)
+        if not full.size:
+            return np.empty(0, "<u4"), counts
+        text_starts = offsets[full]
+        odd = np.zeros(len(full), bool)
+        for m in _ODD.finditer(data):
+            odd[np.searchsorted(text_starts, m.start(), "right") - 1] = True
+        cut = np.zeros(len(data) + 1, bool)
+        sure = _SURE[data]
+        cut[1:-2] = (data[1:-1] == 0x20) & sure[:-2] & sure[2:]
+        cut[text_starts] = True
+        # a space at a text's end or behind its start has a neighbour in another text
+        last = offsets[full + 1] - 1
+        cut[last[last > text_starts]] = False
+        starts = np.flatnonzero(cut[:-1])
+        owner = np.searchsorted(text_starts, starts, "right") - 1
+        keep = ~odd[owner] | np.isin(starts, text_starts)
+        starts, owner = starts[keep], owner[keep]
+        ends = np.append(starts[1:], len(data))
+        direct = odd[owner] | (ends - starts > 4096)
+        slots = np.full(len(starts), -1, np.int64)
+        hashes = self._hashes(data, starts, ends, direct)
+        while True:
+            self._find(hashes, slots, direct)
+            new = np.flatnonzero((slots < 0) & ~direct)
+            if not new.size:
+                break
+            _, first = np.unique(hashes[new], return_index=True)
+            new = new[first]
+            if self.n_pieces + len(new) > MAX_PIECES and self.n_pieces:
+                self._clear()
+                slots[:] = -1
+                continue
+            direct[self._learn(data, hashes, starts, ends, new)] = True
+            long = set(hashes[new[direct[new]]].tolist())
+            if long:
+                direct |= np.isin(hashes, np.array(sorted(long), np.uint64)) & (slots < 0)
+        sizes = np.where(direct, 0, self.size[np.maximum(slots, 0)]).astype(np.int64)
+        apart = {}
+        which = np.flatnonzero(direct)
+        if which.size:
+            for k, ids in zip(which.tolist(), self.direct([data[starts[k] : ends[k]].tobytes() for k in which.tolist()]), strict=True):
+                apart[k] = ids
+                sizes[k] = len(ids)
+        before = np.cumsum(sizes) - sizes
+        total = int(sizes.sum())
+        from_ = np.where(direct, 0, self.at[np.maximum(slots, 0)]).astype(np.int64)
+        out = self.ids[np.minimum(np.repeat(from_ - before, sizes) + np.arange(total), len(self.ids) - 1)]
+        for k, ids in apart.items():
+            out[before[k] : before[k] + len(ids)] = ids
+        counts[full] = np.add.reduceat(sizes, np.flatnonzero(np.append(True, owner[1:] != owner[:-1])))
+        return out, counts
+
+    def _hashes(self, data, starts, ends, direct) -> np.ndarray:
+        out = np.zeros(len(starts), np.uint64)
+        a = 0
+        while a < len(starts):
+            if direct[a]:
+                a += 1
+                continue
+            b = int(np.searchsorted(ends, starts[a] + WINDOW_BYTES, "right"))
+            stop = a + int(np.argmax(direct[a:b])) if direct[a:b].any() else b
+            base = int(starts[a])
+            values = _SEEDS[data[base : int(ends[stop - 1])]] * self.powers[: int(ends[stop - 1]) - base]
+            at = starts[a:stop] - base
+            out[a:stop] = np.add.reduceat(values, at) * self.back[at]
+            a = stop
+        return mix(out + (ends - starts).astype(np.uint64)) | np.uint64(1)
+
+    def _find(self, hashes, slots, direct) -> None:
+        open_ = np.flatnonzero((slots < 0) & ~direct)
+        at = (hashes[open_] >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+        while open_.size:
+            key = self.keys[at]
+            same = key == hashes[open_]
+            slots[open_[same]] = at[same]
+            more = ~same & (key != 0)
+            open_, at = open_[more], (at[more] + 1) & (SLOTS - 1)
+
+    def _learn(self, data, hashes, starts, ends, new: np.ndarray) -> np.ndarray:
+        """Encode new pieces and put them into the table; returns those that are too long for it."""
+        texts = [data[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+        # " a" and " b" joined are cut at the space again, so one call encodes many; others are encoded alone
+        joined = [t[:1] == b" " and len(t) > 1 and _SURE[t[-1]] and not any(x in t for x in self.special) for t in texts]
+        found: dict[int, np.ndarray] = {}
+        some = [k for k, j in enumerate(joined) if j]
+        alone = [k for k, j in enumerate(joined) if not j]
+        for at in range(0, len(some), 2000):
+            part = some[at : at + 2000]
+            (ids,) = self.direct([b"".join(texts[k] for k in part)])
+            reached, want = np.cumsum(self.bytes_of[ids]), np.cumsum([len(texts[k]) for k in part])
+            cuts_at = np.searchsorted(reached, want)
+            if len(ids) and cuts_at[-1] == len(ids) - 1 and (reached[cuts_at] == want).all():
+                found.update(zip(part, np.split(ids, cuts_at[:-1] + 1), strict=True))
+            else:
+                alone += part
+        found.update(zip(alone, self.direct([texts[k] for k in alone]), strict=True))
+        long = []
+        for k, h in enumerate(hashes[new].tolist()):
+            ids = found[k]
+            if len(ids) > MAX_PIECE_IDS:
+                long.append(k)
+                continue
+            while self.n_ids + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            slot = (h >> 20) & (SLOTS - 1)
+            while self.keys[slot]:
+                slot = (slot + 1) & (SLOTS - 1)
+            self.keys[slot], self.at[slot], self.size[slot] = h, self.n_ids, len(ids)
+            self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+            self.n_ids += len(ids)
+            self.n_pieces += 1
+        return new[long]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -99,20 +219,24 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of windows of WINDOW ids whose rolling hash lets a chunk end there, over any run of ids."""
     n = len(ids)
-    if n <= WINDOW:
-        return [n] if n else []
-    h = np.zeros(n - WINDOW + 1, np.uint64)
+    if n < WINDOW:
+        return np.empty(0, np.int64)
     with np.errstate(over="ignore"):
         x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(_MULTIPLIER)
         x ^= x >> np.uint64(29)
+        h = x[WINDOW - 1 :].copy()
         power = np.uint64(1)
-        for k in range(WINDOW - 1, -1, -1):
-            h += x[k : k + n - WINDOW + 1] * power
+        for k in range(WINDOW - 2, -1, -1):
             power = power * np.uint64(0x100000001B3)
-    ends = (np.flatnonzero((h >> np.uint64(64 - BITS)) == 0) + WINDOW).tolist()
+            h += x[k : k + n - WINDOW + 1] * power
+    return np.flatnonzero((h >> np.uint64(64 - BITS)) == 0) + WINDOW
+
+
+def cuts(n: int, ends: list[int]) -> list[int]:
+    """Ends of the chunks of a stream of n ids with these marks."""
     out, last = [], 0
     for e in [*ends, n]:
         while e - last > MAX_IDS:
@@ -139,53 +263,47 @@ _ROWS_SQL = "kind string, key binary, doc_id long, n_ids long, crc32 long, refs
 SEEN = 200_000
 
 
-_PACKER = None
-
-
-def packed(raw: bytes) -> bytes:
-    """Chunk bytes as stored: zstd over 16-bit ids where they fit (leading byte 2), else 32-bit (4)."""
-    global _PACKER
-    if _PACKER is None:
-        import zstandard
-
-        _PACKER = zstandard.ZstdCompressor(level=1)
-    ids = np.frombuffer(raw, "<u4")
+def packed(ids: np.ndarray) -> bytes:
+    """Chunk bytes as stored: ids of 16 bits where they fit (leading byte 2), else of 32 (4). Parquet compresses them."""
     small = ids.size and int(ids.max()) < 1 << 16
-    return (b"\x02" if small else b"\x04") + _PACKER.compress(ids.astype("<u2").tobytes() if small else raw)
+    return (b"\x02" + ids.astype("<u2").tobytes()) if small else (b"\x04" + ids.astype("<u4").tobytes())
 
 
 def unpacked(data: bytes) -> bytes:
     """Little-endian unsigned 32-bit ids of a stored chunk."""
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(data[1:])
-    return np.frombuffer(raw, "<u2").astype("<u4").tobytes() if data[0] == 2 else raw
+    return np.frombuffer(data, "<u2", offset=1).astype("<u4").tobytes() if data[0] == 2 else data[1:]
 
 
 def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Rows of documents (hash list, count, crc, Merkle root as key) and rows of chunks, repeats dropped by task."""
 
     def run(batches):
-        encode = encoder(tokenizer_path)
-        end = np.array([END_ID], "<u4").tobytes()
+        tool = encoder(tokenizer_path)
         seen: set[bytes] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            doc_ids = batch.column("doc_id").to_pylist()
+            for a, b, data, offsets in shingling.slices(batch.column("text")):
+                found, counts = tool.encode(data, offsets)
+                # each text's ids and the end id
+                sizes = counts + 1
+                ids = np.full(int(sizes.sum()), END_ID, "<u4")
+                ids[np.arange(len(found)) + np.repeat(np.arange(len(counts)), counts)] = found
+                ends, starts = marks(ids), np.cumsum(sizes) - sizes
+                lo, hi = np.searchsorted(ends, starts + WINDOW), np.searchsorted(ends, starts + sizes, "right")
                 rows = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    raw = encode(text.decode()) + end
+                for doc_id, at, size, x, y in zip(doc_ids[a:b], starts.tolist(), sizes.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                    mine = ids[at : at + size]
+                    raw = mine.tobytes()
                     refs, last = [], 0
-                    for e in cuts(np.frombuffer(raw, "<u4")):
-                        chunk = raw[4 * last : 4 * e]
-                        refs.append(digest := hashlib.sha256(chunk).digest())
+                    for e in cuts(size, (ends[x:y] - at).tolist() if size > WINDOW else []):
+                        refs.append(digest := hashlib.sha256(raw[4 * last : 4 * e]).digest())
                         if digest not in seen:
                             if len(seen) >= SEEN:
                                 seen.clear()
                             seen.add(digest)
-                            rows.append(("chunks", digest, None, e - last, None, None, packed(chunk)))
+                            rows.append(("chunks", digest, None, e - last, None, None, packed(mine[last:e])))
                         last = e
-                    rows.append(("docs", merkle_root(refs), doc_id, len(raw) // 4, zlib.crc32(raw), refs, None))
+                    rows.append(("docs", merkle_root(refs), doc_id, size, zlib.crc32(raw), refs, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
 
     return text_bytes(docs).mapInArrow(run, _ROWS_SQL)
@@ -212,7 +330,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str) -> None:
     # documents go by a hash of their id, so that copies, which share a Merkle root, spread out
     deal = F.when(F.col("kind") == "docs", F.xxhash64("doc_id")).otherwise(F.xxhash64("key"))
     rows = encoded(docs, tokenizer_path).repartition(parts(spark), deal).mapInArrow(_first_of_each, _ROWS_SQL)
-    rows.write.partitionBy("kind").option("compression", "snappy").parquet(f"{path}/rows")
+    rows.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/rows")
     done = spark.read.schema(_ROWS_SQL).parquet(f"{path}/rows").where("kind = 'docs'")
     order = done.select("doc_id", F.col("n_ids").alias("n_tokens"), F.col("crc32").alias("ids_crc32"), F.col("key").alias("root_sha256"), F.col("refs").alias("chunks"))
     order = order.repartitionByRange(parts(spark), "doc_id", "root_sha256").sortWithinPartitions("doc_id", "root_sha256")
