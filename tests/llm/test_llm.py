@@ -163,6 +163,77 @@ def test_brown(docs, none):
     assert brown_lm.scored(none).count() == 0
 
 
+def test_brown_model_by_brute_force(monkeypatch):
+    """Few items, so most words are clustered by their own contexts: classes, sums to one and scores against plain counts."""
+    for name, value in {"FREQUENT": 8, "SIGNATURES": 4, "CLASSES": 3, "END": 12, "ITEMS": 13, "N_CLASSES": 4}.items():
+        monkeypatch.setattr(brown_lm, name, value)
+    r = np.random.default_rng(4)
+    words = [f"w{k}" + "x" * (k % 4) for k in range(40)]
+    texts = [" ".join(words[min(39, int(r.exponential(9)))] for _ in range(r.integers(0, 60))) for _ in range(60)] + ["unseen w0 Never-seen w1x"]
+    held = [k % 7 == 2 for k in range(60)] + [True]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(61), pa.int64()), "text": pa.array([t.encode() for t in texts], pa.binary()), "held": pa.array(held)})
+    train = [t.lower().split() for t, x in zip(texts, held, strict=True) if not x]
+    n = collections.Counter(w for t in train for w in t)
+    hash_of = lambda w: int(shingling.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0])
+    (counted,) = brown_lm._counted([batch.filter(pa.array([not x for x in held]))], 1)
+    v = np.frombuffer(counted.column("payload")[0].as_py(), brown_lm._VOCAB)
+    assert dict(zip(v["h"].tolist(), v["n"].tolist(), strict=True)) == {hash_of(w): k for w, k in n.items()}
+    frequent = [w for w, _ in sorted(n.items(), key=lambda x: (-x[1], hash_of(x[0])))][:8]
+    h = np.array([hash_of(w) for w in frequent], np.uint64)
+    order = np.argsort(h)
+    encoded = list(brown_lm._encoded([batch], (h[order], order)))
+    classes = np.array([*(k % 3 for k in range(12)), 3])
+    spelt = lambda w: int(brown_lm.spelling(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0])
+    item = lambda w: 12 if w is None else frequent.index(w) if w in frequent else 8 + spelt(w)
+    ended = [[None, *t, None] for t in train]
+    pair0 = np.zeros((4, 4))
+    contexts = collections.defaultdict(collections.Counter)
+    for t in ended:
+        for a, b in zip(t, t[1:], strict=False):
+            if b is None or b in frequent:
+                pair0[classes[item(a)], classes[item(b)]] += 1
+            else:
+                contexts[b][classes[item(a)]] += 1
+    xlogx = lambda x: x * math.log(x) if x > 0 else 0.0
+    size = pair0.sum(axis=0)
+    own = {}
+    for w, c in contexts.items():
+        gain = [sum(xlogx(pair0[x, k] + m) - xlogx(pair0[x, k]) for x, m in c.items()) - xlogx(size[k] + n[w]) + xlogx(size[k]) for k in range(3)]
+        own[w] = int(np.argmax(gain))
+    class_of = lambda w: 3 if w is None else own[w] if w in own else int(classes[item(w)])
+    pair = np.zeros((4, 4))
+    for t in ended:
+        for a, b in zip(t, t[1:], strict=False):
+            pair[classes[item(a)], class_of(b)] += 1
+    share = (pair.sum(axis=0) + 1) / (pair.sum() + 4)
+    move = (pair + brown_lm.ALPHA * share) / (pair.sum(axis=1, keepdims=True) + brown_lm.ALPHA)
+    members = collections.defaultdict(list)
+    for w in n:
+        members[class_of(w)].append(w)
+    below = {c: sum(n[w] + brown_lm.DELTA for w in ws) + brown_lm.DELTA for c, ws in members.items()}
+    p = lambda a, b: move[classes[item(a)], class_of(b)] * (1 if b is None else (n[b] + brown_lm.DELTA) / below[class_of(b)])
+    for a in [None, *frequent, words[30]]:  # words, an unknown one for each class, and the end
+        assert math.isclose(sum(p(a, w) for w in n) + sum(move[classes[item(a)], c] * brown_lm.DELTA / below[c] for c in range(3)) + p(a, None), 1, rel_tol=1e-9)
+    count = np.zeros(13, np.int64)
+    count[:8], count[12] = [n[w] for w in frequent], len(train)
+    clusters = brown_lm.Clusters(classes, count, pair0, sum(n.values()) + len(train), len(n) + 1)
+    full = np.empty(len(v), brown_lm._WORDS)
+    full["h"], full["n"] = v["h"], v["n"]
+    asked = [x for b in brown_lm._asked(encoded, classes, 1) for x in b.column("payload").to_pylist()]
+    got = list(brown_lm._met([pa.RecordBatch.from_pydict({"kind": pa.array([0] + [1] * len(asked)), "payload": pa.array([full.tobytes(), *asked], pa.binary())})], pair0, 1))
+    sums = [np.frombuffer(got[0].column(c)[0].as_py(), k) for c, k in (("pair", "<f8"), ("tokens", "<i8"), ("kinds", "<i8"))]
+    model = brown_lm.fitted(clusters, sums[0].reshape(4, 4), sums[1], sums[2])
+    assert np.allclose(10**model.transition, move)
+    score = collections.Counter()
+    for b in brown_lm._scored(encoded, model):
+        score.update(dict(zip(b.column("row").to_pylist(), b.column("score").to_pylist(), strict=True)))
+    for b in brown_lm._summed_rows(got[1:], model):
+        score.update(dict(zip(b.column("row").to_pylist(), b.column("more_score").to_pylist(), strict=True)))
+    for k, t in enumerate(texts):
+        t = [None, *t.lower().split(), None]
+        assert math.isclose(score[k], sum(math.log10(p(a, b)) for a, b in zip(t, t[1:], strict=False)), rel_tol=1e-9), t
+
+
 def test_chat(spark):
     turn = lambda c, k, t, role="user": (c, k, role, t, "extra")
     rows = [turn(1, 0, "a"), turn(1, 1, "b"), turn(2, 0, "a"), turn(3, 0, "a"), turn(3, 1, "b"), turn(4, 0, "a"), turn(4, 1, "c"), turn(5, 0, None), turn(None, 0, "z"), turn(4, 1, "c")]
@@ -382,7 +453,7 @@ def test_cutoffs_hold_their_risk(spark):
     assert math.isclose(tail, sum(math.comb(100, i) * 0.05**i * 0.95 ** (100 - i) for i in range(4)), rel_tol=1e-9)
 
 
-def test_secret_models(spark):
+def test_secret_models_measured(spark):
     """Random strings that no rule names are caught, secrets don't train the ordinary model, identifiers stay."""
     import base64
 
