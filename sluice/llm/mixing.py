@@ -12,8 +12,8 @@ Ranks are dealt into fine log-scale bins first; only the bin where the target fa
 a source with most rows is summed in parallel. Sizes are computed once and kept as a small table.
 
 Defined results: null or empty text has size 0 and is taken 0 times in words; the null source is a source;
-repeated rows with one doc_id are drawn alike; an empty table gives no rows; reruns agree; other columns
-of the input are kept by mixed() and untouched.
+repeated rows with one doc_id, source and size are drawn alike; a null doc_id draws like an empty one, and rows of equal rank in
+ascending doc_id order, nulls first; an empty table gives no rows; reruns agree; other columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def word_count(text: Column) -> Column:
 
 def uniform(key: Column) -> Column:
     """A number in (0, 1) from the md5 of a key: the same in any engine and on every run."""
-    return (F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    return (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def targets(sized: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:

@@ -150,6 +150,62 @@ def test_mix_stage_with_repeated_ids(spark):
     assert got == +want and max(got[1, n] for n in (20, 300, 3000)) <= 2
 
 
+def mixed_by_brute_force(rows):
+    """Copies of rows (doc_id, source, size) by the rules of the mix, one source after the other."""
+    total = collections.Counter()
+    for _, source, size in rows:
+        total[source] += size
+    order = sorted(total, key=lambda x: (x is None, x or ""))
+    weight = {x: (3, 1, 2)[k % 3] for k, x in enumerate(order)}
+    goal, full = {}, set()
+    while True:  # targets above the cap are cut, and what is over is shared again
+        left = 1.5 * sum(total.values()) - sum(2 * total[x] for x in full)
+        goal = {x: 2.0 * total[x] if x in full else left * weight[x] / sum(weight[y] for y in order if y not in full) for x in order}
+        over = {x for x in order if x not in full and goal[x] > 2 * total[x] + 1e-9}
+        if not over:
+            break
+        full |= over
+    out = []
+    for x in order:
+        mine = [(i, n) for i, s, n in rows if s == x]
+        words = collections.Counter()
+        for _, n in mine:
+            if n:
+                words[n.bit_length()] += n
+        lo, hi = 0.0, 3.0
+        for _ in range(200):
+            c = (lo + hi) / 2
+            lo, hi = (c, hi) if sum(w * min(2, c * (k + 1)) for k, w in words.items()) < goal[x] else (lo, c)
+        drawn, whole, rank = {}, {}, {}
+        for j, (i, n) in enumerate(mine):
+            copies = min(2, hi * (n.bit_length() + 1)) if n else 0
+            whole[j] = math.floor(copies + 1e-9)
+            p = copies - whole[j]
+            u = (int(hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            if p > 1e-9:
+                rank[j] = math.log2(u / (1 - u) * (1 - p) / p)
+        room = goal[x] - sum(whole[j] * n for j, (_, n) in enumerate(mine))
+        for _ in range(2):
+            used = 0
+            for j in sorted((j for j in rank if j not in drawn and mine[j][1] <= room), key=lambda j: (rank[j], mine[j][0])):
+                if used + mine[j][1] > room:
+                    break
+                used += mine[j][1]
+                drawn[j] = 1
+            room -= used
+        out += [(i, x, n, whole[j] + drawn.get(j, 0)) for j, (i, n) in enumerate(mine)]
+    return out
+
+
+def test_mixing_by_brute_force(spark):
+    r = np.random.default_rng(8)
+    for shares in ([0.7, 0.1, 0.1, 0.1], [0.02, 0.9, 0.04, 0.04], [0.25] * 4):
+        rows = [(k, [None, "b", "a", "é"][r.choice(4, p=shares)], int(r.exponential(40)) if k % 9 else 0) for k in range(400)]
+        df = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, s, n in rows], "doc_id long, text string, source string").repartition(3)
+        got = collections.Counter((x.doc_id, x.source, x.size, x.copies) for x in mixing.mixed(df).collect())
+        assert got == collections.Counter(mixed_by_brute_force(rows))
+
+
 def test_brown(docs, none):
     got = brown_lm.scored(docs).collect()
     rows = docs.collect()
