@@ -10,6 +10,7 @@ their file, sheets by book and sheet with their first row as header. What cannot
 from __future__ import annotations
 
 import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -61,7 +62,7 @@ def _tables(path: str, data: bytes, wanted: Callable | None) -> Iterator[tuple[s
 def _sheets(stem: str, data: bytes):
     try:
         got = [(sheet_base(stem, name), rows[0], rows[1:], 0, "ok", None) for name, rows in workbook.sheets(data)]
-    except (ValueError, KeyError, IndexError, TypeError, AttributeError, NotImplementedError, RuntimeError, EOFError, zipfile.BadZipFile, zlib.error, ElementTree.ParseError) as e:
+    except (ValueError, KeyError, IndexError, TypeError, AttributeError, NotImplementedError, RuntimeError, EOFError, zipfile.BadZipFile, zlib.error, struct.error, ElementTree.ParseError) as e:
         got = [(stem, [], [], 0, "rejected", f"{type(e).__name__}: the book cannot be read" if not isinstance(e, workbook.Unsupported) else str(e))]
     return iter(got)
 

@@ -1,4 +1,4 @@
-"""XLSX workbooks as rows, with the standard library only; ``.xls`` is reported as unsupported.
+"""XLSX and XLS workbooks as rows, with the standard library only.
 
 Books over ``MAX_SHEETS`` sheets, or unpacking to over ``MAX_UNPACKED`` bytes, are refused. Values are the stored text of cells:
 formulas give their last value, booleans TRUE or FALSE. Trailing empty rows of a sheet go, inner ones stay.
@@ -12,6 +12,8 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+from sluice.sources import biff
+
 MAX_SHEETS = 5
 MAX_UNPACKED = 4 << 30
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -34,10 +36,24 @@ def _column(reference: str) -> int:
     return out - 1
 
 
+def _old_sheets(data: bytes) -> Iterator[tuple[str, list[list[str]]]]:
+    listed, found = biff.names_and_rows(data)
+    if len(listed) > MAX_SHEETS:
+        raise Unsupported(f"over {MAX_SHEETS} sheets")
+    for name, cells in found:
+        full = [r for r, c in cells.items() if any(c.values())]
+        if full:
+            width = max(k + 1 for r in full for k in cells[r])
+            yield name, [[cells.get(r, {}).get(k, "") for k in range(width)] for r in range(max(full) + 1)]
+
+
 def sheets(data: bytes) -> Iterator[tuple[str, list[list[str]]]]:
     """(sheet name, rows) of a book; sheets without rows are left out."""
+    if data[:8] == biff.SIGNATURE:
+        yield from _old_sheets(data)
+        return
     if data[:4] != b"PK\x03\x04":
-        raise Unsupported("not an XLSX file (BIFF .xls is not supported)")
+        raise Unsupported("neither an XLSX nor an XLS file")
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         if sum(i.file_size for i in z.infolist()) > MAX_UNPACKED:
             raise Unsupported("unpacks to too much")

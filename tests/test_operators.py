@@ -1,4 +1,5 @@
 import io
+import struct
 import zipfile
 
 import pytest
@@ -10,7 +11,7 @@ from sluice import queries
 from sluice.functions import names
 from sluice.operators import merge, split, state
 from sluice.plans import ingest
-from sluice.sources import files
+from sluice.sources import biff, files, mixed
 from sluice.sources.workbook import Unsupported, sheets
 
 SF = "/root/testdata/sf0.001"
@@ -198,7 +199,68 @@ def test_workbook():
     with pytest.raises(Unsupported):
         list(sheets(book(6)))
     with pytest.raises(Unsupported):
-        list(sheets(b"\xd0\xcf\x11\xe0"))
+        list(sheets(b"GIF89a"))
+
+
+def old_book(sheets, strings=(), filler=0):
+    """An XLS book: sheets of (row, column, value) cells; long books lie in sectors, short ones in the file's small stream."""
+    rec = lambda k, b=b"": struct.pack("<HH", k, len(b)) + b
+    bof = rec(0x809, struct.pack("<HHHHII", 0x600, 5, 0, 0, 0, 0))
+    text = lambda t, n="<H": struct.pack(n, len(t)) + (b"\x01" + t.encode("utf-16-le") if any(ord(c) > 255 for c in t) else b"\x00" + t.encode("latin-1"))
+    table = struct.pack("<II", len(strings), len(strings)) + b"".join(text(t) for t in strings)
+    cut = len(table) - 3  # the last string goes on in a continuation, which repeats its flags
+    shared = rec(0xFC, table[:cut]) + rec(0x3C, b"\x00" + table[cut:]) if strings else b""
+    bodies = []
+    for cells in sheets:
+        out = bof
+        for r, c, v in cells:
+            at = struct.pack("<HHH", r, c, 0)
+            if isinstance(v, bool):
+                out += rec(0x205, at + struct.pack("<BB", v, 0))
+            elif isinstance(v, tuple):  # a formula with a text result
+                out += rec(0x06, at + b"\x00" * 6 + b"\xff\xff" + b"\x00" * 6) + rec(0x207, text(v[0]))
+            elif isinstance(v, list):
+                out += rec(0xBD, struct.pack("<HH", r, c) + b"".join(struct.pack("<HI", 0, ((x << 2) | 2) & 0xFFFFFFFF) for x in v) + struct.pack("<H", c + len(v) - 1))
+            elif isinstance(v, float):
+                out += rec(0x203, at + struct.pack("<d", v))
+            elif isinstance(v, int):
+                out += rec(0xFD, at + struct.pack("<I", v))
+            else:
+                out += rec(0x204, at + text(v))
+        bodies.append(out + rec(0x0A))
+    size = lambda k: len(rec(0x85, struct.pack("<IBB", 0, 0, 0) + text(f"s{k}", "<B")))
+    head = len(bof) + sum(map(size, range(len(sheets)))) + len(shared) + 4
+    places = [head + sum(map(len, bodies[:k])) for k in range(len(bodies))]
+    book = bof + b"".join(rec(0x85, struct.pack("<IBB", p, 0, 0) + text(f"s{k}", "<B")) for k, p in enumerate(places)) + shared + rec(0x0A) + b"".join(bodies) + b"\0" * filler
+    small = len(book) < 4096
+    n = -(-len(book) // 512)
+    end, free = 0xFFFFFFFE, 0xFFFFFFFF
+    chain = lambda a, k: [*range(a + 1, a + k), end]
+    fat = [0xFFFFFFFD, end, *chain(2, n), end]  # sectors: table, directory, the book, and the small table
+    fat += [free] * (128 - len(fat))
+    entry = lambda name, kind, start, length: (name + "\0").encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBB", 2 * len(name) + 2, kind, 1) + b"\xff" * 12 + b"\0" * 36 + struct.pack("<IIII", start, length, 0, 0)[:12]
+    dirs = (entry("Root Entry", 5, 2 if small else end, n * 512 if small else 0) + entry("Workbook", 2, 0 if small else 2, len(book))).ljust(512, b"\0")
+    head = biff.SIGNATURE + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<IIIIIIIIII", 0, 1, 1, 0, 4096, 2 + n if small else end, 1 if small else 0, end, 0, 0) + struct.pack("<108I", *[free] * 108)
+    minis = chain(0, -(-len(book) // 64)) if small else []
+    return head + struct.pack("<128I", *fat) + dirs + book.ljust(n * 512, b"\0") + struct.pack("<128I", *minis, *[free] * (128 - len(minis)))
+
+
+def test_old_workbook():
+    cells = [(0, 0, 0), (0, 2, "é日"), (2, 0, [7, -8]), (2, 2, 1.5), (3, 0, True), (3, 1, ("sum",)), (3, 2, 1)]
+    want = [["shared", "", "é日"], ["", "", ""], ["7", "-8", "1.5"], ["TRUE", "sum", "long one"]]
+    for filler in (0, 5000):
+        assert list(sheets(old_book([cells, []], ("shared", "long one"), filler))) == [("s0", want)]
+    with pytest.raises(Unsupported):
+        list(sheets(old_book([cells] * 6, ("shared", "long one"))))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 5000), st.binary(min_size=1, max_size=8))
+def test_damaged_old_workbook(at, junk):
+    data = bytearray(old_book([[(0, 0, 0), (1, 1, [1, 2])]], ("a", "bcdef")))
+    data[at : at + len(junk)] = junk[: max(0, len(data) - at)]
+    name, _, _, _, status, _ = list(mixed._sheets("b", bytes(data)))[0] if list(mixed._sheets("b", bytes(data))) else ("", [], [], 0, "ok", None)
+    assert status in ("ok", "rejected")
 
 
 def test_plan_reads_tables_and_books(spark, tmp_path):
