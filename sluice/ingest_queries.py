@@ -137,7 +137,7 @@ def dump_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as few large dumps, their rows dealt out in pieces before values are parsed; row numbers follow the statement."""
     o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     row = F.concat(F.lit("("), F.col("o_orderkey").cast("string"), F.lit(", '"), F.col("o_orderpriority"), F.lit("')"))
-    some = o.groupBy(F.pmod("o_orderkey", F.lit(32)).alias("b")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))).alias("xs"))
+    some = o.groupBy(F.floor(F.col("o_orderkey") / 40_000).alias("b")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))).alias("xs"))
     body = F.concat(F.lit("INSERT INTO o (k, p) VALUES "), F.array_join(F.transform("xs", lambda x: x["r"]), ",\n"), F.lit(";"))
     got = insert_dump.read_rows(some.select(F.concat(F.lit("/in/"), F.col("b").cast("string")).alias("path"), body.cast("binary").alias("content")), spread=8)
     return got.select("path", "row", F.element_at("cells", 1)["text"].cast("long").alias("k"), F.element_at("cells", 2)["text"].alias("p"))
@@ -151,7 +151,7 @@ def _delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, d = F.col("c_custkey"), _pick([",", ";", "\t"], F.col("c_custkey") % 3)
     quoted = F.concat(F.lit('"'), F.col("c_name"), d, F.lit('\n""x"""'))
     line = F.when(k % 7 == 0, F.concat(k.cast("string"), F.lit("\n\n"))).when(k % 11 == 0, F.concat(k.cast("string"), d, F.lit("a"), d, F.lit("b"), d, F.lit("c"))).when(k % 13 == 0, F.concat(k.cast("string"), d, F.lit('a"b"'), d)).otherwise(F.concat(k.cast("string"), d, quoted, d, F.lit(" "), F.col("c_mktsegment")))
-    some = c.groupBy((k % 3).alias("b"), d.alias("d")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("l")))).alias("xs"))
+    some = c.groupBy((F.floor(k / 3000) * 3 + k % 3).alias("b"), d.alias("d")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("l")))).alias("xs"))
     text = F.concat(F.lit("﻿\n \n"), F.concat(F.lit(" id "), F.col("d"), F.lit("label"), F.col("d"), F.lit("seg")), F.lit("\r\n"), F.array_join(F.transform("xs", lambda x: x["l"]), "\n"), F.lit("\n"))
     return some.select(F.concat(F.lit("/in/customers_"), F.col("b").cast("string"), F.lit(".sql")).alias("path"), text.cast("binary").alias("content"))
 
@@ -234,10 +234,10 @@ def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as CSV files of 16 buckets with blank records before, among and behind the data."""
+    """documents as CSV files of 64 ids each with blank records before, among and behind the data."""
     d = _table(spark, sf_dir, "documents").where("text is not null")
     record = F.concat(F.col("doc_id").cast("string"), F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"\r\n'), F.when(F.col("doc_id") % 5 == 0, F.lit(" \n")).otherwise(F.lit("")))
-    some = d.groupBy(F.pmod("doc_id", F.lit(16)).alias("b")).agg(F.array_sort(F.collect_list(F.struct("doc_id", record.alias("r")))).alias("xs"))
+    some = d.groupBy(F.floor(F.col("doc_id") / 64).alias("b")).agg(F.array_sort(F.collect_list(F.struct("doc_id", record.alias("r")))).alias("xs"))
     text = F.concat(F.lit("\n\t\nid,text\n"), F.array_join(F.transform("xs", lambda x: x["r"]), ""), F.lit("\n \n"))
     return some.select(F.concat(F.lit("/in/"), F.col("b").cast("string"), F.lit(".csv")).alias("path"), text.cast("binary").alias("content"))
 
@@ -336,7 +336,7 @@ def _forms(rows: list[tuple]) -> str:
     return ", ".join(f"({k}, " + ", ".join(map(shown, r)) + ")" for k, r in enumerate(rows))
 
 
-_DELIMITED = """SELECT 'customers_' || CAST(c_custkey % 3 AS VARCHAR) AS "table", CAST(c_custkey AS BIGINT) AS id, c_custkey % 7 = 0 AS short, c_custkey % 7 <> 0 AND (c_custkey % 11 = 0 OR c_custkey % 13 = 0) AS bad, c_name || [',', ';', chr(9)][c_custkey % 3 + 1] || chr(10) || '"x"' AS label, ' ' || c_mktsegment AS seg FROM customer"""
+_DELIMITED = """SELECT 'customers_' || CAST(c_custkey // 3000 * 3 + c_custkey % 3 AS VARCHAR) AS "table", CAST(c_custkey AS BIGINT) AS id, c_custkey % 7 = 0 AS short, c_custkey % 7 <> 0 AND (c_custkey % 11 = 0 OR c_custkey % 13 = 0) AS bad, c_name || [',', ';', chr(9)][c_custkey % 3 + 1] || chr(10) || '"x"' AS label, ' ' || c_mktsegment AS seg FROM customer"""
 
 ORACLE_SQL: dict[str, str] = {
     "list_inputs": f"{_LISTED} SELECT doc_id, rel, kind, dir, top_folder, rank FROM l",
@@ -345,7 +345,7 @@ ORACLE_SQL: dict[str, str] = {
     "dump_fates": f"""SELECT p_partkey AS k, replace(t, '@', CAST(p_partkey AS VARCHAR)) AS "table", status, CAST(n AS BIGINT) AS n_rows, CAST(s AS BIGINT) AS n_surplus FROM part JOIN (VALUES {_forms([f[1:] for f in _FORMS])}) v(f, t, status, n, s) ON f = p_partkey % {len(_FORMS)}""",
     "dump_seek": f"SELECT p_partkey AS k, t AS tables FROM part JOIN (VALUES {_forms([s[1:] for s in _SEEKS])}) v(f, t) ON f = p_partkey % {len(_SEEKS)} WHERE t <> ''",
     "dump_cells": r"""SELECT p_partkey AS k, CAST(to_json([p_name, 'a''b''c\d\n', '<none>', '<none>', 'x"y', 'f(' || p_size || ', '')'')', 'X''0f''', '-1.5e3', CAST(p_partkey AS VARCHAR)]) AS VARCHAR) AS texts, 'text,text,null,missing,text,text,text,text,text' AS kinds FROM part""",
-    "dump_pieces": "SELECT '/in/' || CAST(o_orderkey % 32 AS VARCHAR) AS path, row_number() OVER (PARTITION BY o_orderkey % 32 ORDER BY o_orderkey) - 1 AS row, o_orderkey AS k, o_orderpriority AS p FROM orders",
+    "dump_pieces": "SELECT '/in/' || CAST(o_orderkey // 40000 AS VARCHAR) AS path, row_number() OVER (PARTITION BY o_orderkey // 40000 ORDER BY o_orderkey) - 1 AS row, o_orderkey AS k, o_orderpriority AS p FROM orders",
     "tabular_rows": f"""SELECT "table", 'id|label|seg' AS header, id, CASE WHEN short THEN '' ELSE label END AS label, CASE WHEN short THEN '' ELSE seg END AS seg FROM ({_DELIMITED}) WHERE NOT bad""",
     "tabular_counts": f"""SELECT "table", 'ok' AS status, count(*) FILTER (NOT bad) AS n_rows, count(*) FILTER (bad) AS n_surplus FROM ({_DELIMITED}) GROUP BY 1""",
     "tabular_sniff": f"SELECT p_partkey AS k, CAST(n AS BIGINT) AS n_rows FROM part JOIN (VALUES {_forms([s[1:] for s in _SNIFFS])}) v(f, t, n) ON f = p_partkey % {len(_SNIFFS)} WHERE t",
@@ -354,7 +354,7 @@ ORACLE_SQL: dict[str, str] = {
 SELECT "table", 'key||name|' AS header, row, v || '|' || CASE WHEN row = 1 THEN 'w' ELSE '' END AS values FROM b UNION ALL SELECT DISTINCT "table", 'key||name|', 0, '|||' FROM b""",
     "csv_records": """SELECT doc_id, 'id,text' || chr(10) AS header, md5(doc_id || ',"' || replace(text, '"', '""') || '"' || chr(13) || chr(10)) AS md5 FROM documents WHERE text IS NOT NULL""",
     "txt_records": r"""SELECT doc_id, generate_subscripts(ls, 1) - 1 AS k, unnest(ls) AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(\n[ \t\x0b\f]*)+$', '') AS t FROM documents) WHERE regexp_replace(t, '[ \t\x0b\f\n]', '', 'g') <> '')""",
-    "record_parts": """WITH d AS (SELECT doc_id, doc_id % 16 AS b, strlen(doc_id || ',"' || replace(text, '"', '""') || '"') + 2 AS n, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id DESC) AS back FROM documents WHERE text IS NOT NULL),
+    "record_parts": """WITH d AS (SELECT doc_id, doc_id // 64 AS b, strlen(doc_id || ',"' || replace(text, '"', '""') || '"') + 2 AS n, row_number() OVER (PARTITION BY doc_id // 64 ORDER BY doc_id DESC) AS back FROM documents WHERE text IS NOT NULL),
 r AS (SELECT b, doc_id, 0 AS s, n FROM d UNION ALL SELECT b, doc_id, 1, 2 FROM d WHERE doc_id % 5 = 0 AND back > 1),
 p AS (SELECT b, n, row_number() OVER (PARTITION BY b ORDER BY doc_id, s) - 1 AS k, count(*) OVER (PARTITION BY b) AS m FROM r)
 SELECT '/in/' || b || '.csv' AS path, k // 25 + 1 AS part, count(*) AS n, CAST(1 AS BIGINT) AS n_headers, CAST(sum(n) + 8 AS BIGINT) AS bytes FROM p WHERE m > 30 GROUP BY 1, 2""",

@@ -28,7 +28,7 @@ def _dump(df: DataFrame, table: str, values: list[Column], columns: list[str], b
     got = df.select(bucket.cast("string").alias("b"), F.struct(df[df.columns[0]].alias("k"), row.alias("r")).alias("x")).groupBy("b").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     head = f"-- dump\nINSERT INTO `{table}` ({', '.join(f'`{c}`' for c in columns)}) VALUES\n"
     body = F.concat(F.lit(head), F.array_join(F.transform("xs", lambda x: x["r"]), ",\n"), F.lit(";\n"))
-    return got.select(F.concat(F.lit(f"/in/{table}_"), F.lpad("b", 5, "0"), F.lit(".sql")).alias("path"), body.cast("binary").alias("content"))
+    return got.select(F.concat(F.lit(f"/in/{table}_"), F.lpad("b", 9, "0"), F.lit(".sql")).alias("path"), body.cast("binary").alias("content"))
 
 
 def insert_roundtrip_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def insert_roundtrip_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("o_totalprice") * 100).cast("long").cast("string")
     values = [F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), _literal(F.col("o_orderstatus")), cents, _literal(F.date_format("o_orderdate", "yyyy-MM-dd")), _literal(F.col("o_orderpriority"))]
     columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_cents", "o_orderdate", "o_orderpriority"]
-    files = _dump(o.select("o_orderkey", *[c for c in o.columns if c != "o_orderkey"]), "orders", values, columns, F.pmod(F.col("o_orderkey"), F.lit(64)))
+    files = _dump(o.select("o_orderkey", *[c for c in o.columns if c != "o_orderkey"]), "orders", values, columns, F.floor(F.col("o_orderkey") / 20_000))
     rows = insert_dump.read_rows(files).withColumn("dir", F.lit(""))
     v = lambda k: F.element_at("values", k + 1)
     return merge.merged(rows).select(v(0).cast("long").alias("o_orderkey"), v(1).cast("long").alias("o_custkey"), v(2).alias("o_orderstatus"), v(3).cast("long").alias("o_cents"), v(4).alias("o_orderdate"), v(5).alias("o_orderpriority"))
@@ -59,7 +59,7 @@ def insert_width_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "part").select("p_partkey")
     k = F.pmod(F.col("p_partkey"), F.lit(4)).cast("int") + 1
     row = F.concat(F.lit("("), F.array_join(F.array_repeat(F.col("p_partkey").cast("string"), k), ","), F.lit(")"))
-    files = p.groupBy(F.pmod("p_partkey", F.lit(8)).alias("b")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))).alias("xs"))
+    files = p.groupBy(F.floor(F.col("p_partkey") / 250).alias("b")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))).alias("xs"))
     body = F.concat(F.lit("INSERT INTO w (a, b, c) VALUES "), F.array_join(F.transform("xs", lambda x: x["r"]), ","), F.lit(";"))
     rows = insert_dump.read_rows(files.select(F.concat(F.lit("/in/"), F.col("b").cast("string")).alias("path"), body.cast("binary").alias("content"))).withColumn("dir", F.lit(""))
     return merge.merged(rows).select(*[F.element_at("values", i + 1).alias(c) for i, c in enumerate("abc")])
@@ -165,7 +165,7 @@ QUERIES |= ingest_queries.QUERIES
 _LABELLED = lambda rows: ", ".join(f"({k}, '{n}', {str(y).lower()})" for k, (n, y) in enumerate(rows))
 ORACLE_SQL: dict[str, str] = {
     "insert_roundtrip_orders": "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) AS o_cents, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders",
-    "insert_merge_places": "SELECT 'place' AS base, 'id,name' AS header, '/in/place_00001.sql' AS path, row_number() OVER (ORDER BY r_regionkey) - 1 AS row, CAST(r_regionkey AS VARCHAR) AS id, r_name AS name FROM region UNION ALL SELECT 'place', 'id,name', '/in/place_00002.sql', row_number() OVER (ORDER BY n_nationkey) - 1, CAST(n_nationkey AS VARCHAR), n_name FROM nation",
+    "insert_merge_places": "SELECT 'place' AS base, 'id,name' AS header, '/in/place_000000001.sql' AS path, row_number() OVER (ORDER BY r_regionkey) - 1 AS row, CAST(r_regionkey AS VARCHAR) AS id, r_name AS name FROM region UNION ALL SELECT 'place', 'id,name', '/in/place_000000002.sql', row_number() OVER (ORDER BY n_nationkey) - 1, CAST(n_nationkey AS VARCHAR), n_name FROM nation",
     "insert_width_rules": "SELECT CAST(p_partkey AS VARCHAR) AS a, CASE WHEN p_partkey % 4 >= 1 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS b, CASE WHEN p_partkey % 4 >= 2 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS c FROM part WHERE p_partkey % 4 < 3",
     "names_match": f"SELECT p_partkey, n AS name, y AS personal FROM part JOIN (VALUES {_LABELLED(_NAMES)}) v(k, n, y) ON k = p_partkey % {len(_NAMES)}",
     "tables_match": f"SELECT p_partkey, n AS columns, y AS by_columns FROM part JOIN (VALUES {_LABELLED(_TABLES)}) v(k, n, y) ON k = p_partkey % {len(_TABLES)}",
