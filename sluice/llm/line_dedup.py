@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from sluice.llm.util import SPACE, Scratch, saved
 
 MIN_WORDS = 30
+#: At most so many windows are so frequent that they are broadcast.
+HOT = 100_000
 #: Where lines end. The break itself stays with the line before it.
 BREAK = r"(?<=[\n ])(?:(?<=\n)|(?<=[.!?] ))"
 #: The same places, with the break taken out of the line.
@@ -77,13 +79,21 @@ def _longer(x: Column, s: Column | None, e: Column | None) -> Column:
 def ranges(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """row and the line ranges to delete, for rows that have any, as a written table; ranges of a row do not meet."""
     with Scratch(docs.sparkSession) as scratch:
-        return saved(_ranges(scratch.saved(_hashed(docs, min_words), "windows")), "ranges")
+        return saved(_ranges(scratch, scratch.saved(_hashed(docs, min_words), "windows")), "ranges")
 
 
-def _ranges(windows: DataFrame) -> DataFrame:
+def _ranges(scratch: Scratch, windows: DataFrame) -> DataFrame:
     marks = windows.select("row", F.explode("windows").alias("m")).select("row", "m.w", "m.s", "m.e")
-    first = marks.groupBy("w").agg(F.min(F.struct("row", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "first")
-    later = marks.join(first, "w").where(F.struct("row", "s") > F.col("first"))
+    first = marks.groupBy("w").agg(F.min(F.struct("row", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = scratch.saved(first, "first")
+    # windows with one place in HOT or more are at most HOT, so they can be broadcast, and their places meet in no one task
+    least = max(1_000, (first.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = F.broadcast(first.where(F.col("n") > least).select("w", F.col("first").alias("known")))
+    met = marks.join(hot, "w", "left")
+    place = F.struct("row", "s")
+    famous = met.where(F.col("known").isNotNull() & (place > F.col("known"))).select("row", "s", "e")
+    other = met.where(F.col("known").isNull()).join(first.where(F.col("n") <= least).select("w", "first"), "w").where(place > F.col("first")).select("row", "s", "e")
+    later = famous.union(other)
     got = later.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("rs"))
     r = "struct<s:int,e:int>"
     none = F.struct(F.array().cast(f"array<{r}>").alias("done"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))

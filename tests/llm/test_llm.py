@@ -120,6 +120,14 @@ def test_token_store(spark, docs, none, tmp_path):
         assert np.frombuffer(e(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_famous_passage(spark):
+    """A passage in more places than a task should see, beside a rare one: the first places stay."""
+    famous, rare = sentence(60, 40) + ". ", sentence(61, 35) + ". "
+    rows = [(k, f"{' '.join(f'u{k}x{i}' for i in range(20))}. {famous}{rare if k in (700, 900) else ''}End {k}.") for k in range(1500)]
+    got = {r.doc_id: r.n_deleted for r in line_dedup.deduped(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {k: 0 if k == 0 else 2 if k == 900 else 1 for k in range(1500)}
+
+
 def test_mixing(docs, none):
     got = mixing.mixed(docs).collect()
     assert len(got) == docs.count()
