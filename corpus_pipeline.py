@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import decontaminate, jaccard_join, mixing, quality, token_store
 from sluice.llm.queries import tokenizer_path
-from sluice.llm.util import saved, scratch_dir, table
+from sluice.llm.util import Scratch, saved, scratch_dir, table
 
 
 def _keyed(docs: DataFrame, *of: str) -> tuple[DataFrame, str]:
@@ -79,13 +79,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result is written to the shared folder and read again, and goes once the next one is there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        here = Scratch(spark)
+        docs = here.saved(stage(spark, docs, sf_dir), name)
+        if before:
+            before.__exit__()
+        before = here
     return docs
 
 
-#: Tokenization and the order sample's stages are not expressed in SQL; tests hold the operators, source_mix and cleaned() against
-#: brute force or the one-block result, not the other stages.
+#: Tokenization and the order sample are not expressed in SQL; tests/llm holds each stage and the chain against brute force.
 ORACLE_SQL = None
