@@ -20,8 +20,7 @@ SPREAD_BYTES = 64 << 20
 
 def contents(spark: SparkSession, root: str, closed: list[str] = (), pattern: str = mixed.GLOB) -> DataFrame:
     """path, length and content of input files; completed top folders are neither listed nor read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    return df.load(files.unfinished(spark, root, list(closed))).select("path", "length", "content")
+    return files.loaded(spark, files.unfinished(spark, root, list(closed)), pattern)
 
 
 def items(spark: SparkSession, root: str, closed: list[str] = (), wanted=None) -> DataFrame:

@@ -103,17 +103,23 @@ def inputs(spark: SparkSession, root: str, done: DataFrame | None = None) -> Dat
     """files(path, rel, kind, dir, top_folder, rank, length); completed tops are not listed at all."""
     checked_root(spark, root)
     closed = [r.top_folder for r in done.select("top_folder").distinct().collect()] if done is not None else []
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(unfinished(spark, root, closed)).select("path", "length")
-    return described(df, root)
+    return described(loaded(spark, unfinished(spark, root, closed)).select("path", "length"), root)
+
+
+def loaded(spark: SparkSession, paths: list[str], pattern: str = "*") -> DataFrame:
+    """path, length and content of the files below paths whose names match; contents are read only where they are selected."""
+    if not paths:
+        return spark.createDataFrame([], "path string, length long, content binary")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths).select("path", "length", "content")
 
 
 def unfinished(spark: SparkSession, root: str, closed: list[str]) -> list[str]:
-    """What to load: the root, or its tops and files without completed tops (names of tops are few)."""
+    """What to load: the root, or its tops and files without completed tops (names of tops are few); nothing if all are completed."""
     if not closed:
         return [root]
     fs, path = _status(spark, root)
     kept = [s.getPath().toString() for s in fs.listStatus(path) if not (s.isDirectory() and s.getPath().getName() in set(closed))]
-    return [x for x in kept if not x.rsplit("/", 1)[-1].startswith(("_", "."))] or [root.rstrip("/") + "/{}"]
+    return [x for x in kept if not x.rsplit("/", 1)[-1].startswith(("_", "."))]
 
 
 def described(df: DataFrame, root: str, done: DataFrame | None = None) -> DataFrame:

@@ -108,6 +108,15 @@ def test_state_lists(spark, tmp_path):
         state.append(spark, str(tmp_path), spark.createDataFrame([("a\nb", "split", "done")], "top_folder string, stage string, outcome string"))
 
 
+def test_nothing_left_to_do(spark, tmp_path):
+    (tmp_path / "in" / "A").mkdir(parents=True)
+    (tmp_path / "in" / "A" / "a.sql").write_text("INSERT INTO t VALUES (1);")
+    for name in ("_convert_done_.txt", "_splitter_passed_.txt"):
+        (tmp_path / "in" / name).write_text("A\n")
+    got = ingest.convert(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert got.files == [] and got.failures == 0 and got.reports.count() == 0
+
+
 def test_personal_only(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.sql").write_text("INSERT INTO users (a) VALUES (1); INSERT INTO qty (n, m) VALUES (1, 2); INSERT INTO t (email, phone) VALUES (1, 2);")
