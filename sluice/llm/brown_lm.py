@@ -432,11 +432,18 @@ def _met(batches, pair: np.ndarray, n_blocks: int):
     tokens = np.bincount(c_of[seen], v["n"][seen], minlength=N_CLASSES).astype(np.int64)
     kinds = np.bincount(c_of[seen], minlength=N_CLASSES)
     yield pa.RecordBatch.from_pydict({"block": pa.array([None], pa.int32()), "payload": pa.array([None], pa.binary()), "pair": pa.array([more.tobytes()], pa.binary()), "tokens": pa.array([tokens.tobytes()], pa.binary()), "kinds": pa.array([kinds.astype(np.int64).tobytes()], pa.binary())})
-    for e, at, ok in zip(asked, place, known, strict=True):
+    held, size = [], 0
+    for no, (e, at, ok) in enumerate(zip(asked, place, known, strict=True), 1):
         out = np.empty(len(e), _BACK)
         out["row"], out["k"], out["left"] = e["row"], e["k"], e["left"]
         out["n"] = np.where(ok, v["n"][at], 0) if len(v) else 0
         out["c"] = np.where(ok, c_of[at], e["spelt"]) if len(v) else e["spelt"]
+        held.append(out)
+        size += len(out)
+        if size < FLUSH_ENTRIES and no < len(asked):  # gathered before they are dealt, or each payload would give a row for each block
+            continue
+        out = np.concatenate(held)
+        held, size = [], 0
         block = (out["row"] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(n_blocks)
         order = np.argsort(block, kind="stable")
         cuts = np.searchsorted(block[order], np.arange(n_blocks + 1))
