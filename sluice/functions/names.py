@@ -170,15 +170,13 @@ def limited(name: str, suffix: str = "", units: int = MAX_UNITS) -> str:
 def limited_name(name: Column, suffix: Column | str = "", units: int = MAX_UNITS) -> Column:
     """limited() as a Column, for all code points: those beyond the Basic Multilingual Plane take two units."""
     suffix = F.lit(suffix) if isinstance(suffix, str) else suffix
-    marks = lambda x: F.regexp_replace(x, r"[\x{10000}-\x{10FFFF}]", "..")
-    length = F.char_length(marks(name)) + F.char_length(marks(suffix))
-    tail = F.concat(F.lit("~"), F.substring(F.sha2(name, 256), 1, 16), suffix)
-    room = F.greatest(F.lit(units) - F.char_length(marks(tail)), F.lit(0))
-    # the longest prefix that fits: drop as many code points as units are over, counted over the prefix's wide ones
-    points = F.split(F.substring(name, F.lit(1), room), "")
-    took = F.aggregate(points, F.struct(F.lit(0).alias("u"), F.lit(0).alias("k")), lambda s, c: F.when(s["u"] + F.char_length(marks(c)) <= room, F.struct((s["u"] + F.char_length(marks(c))).alias("u"), (s["k"] + 1).alias("k"))).otherwise(F.struct((room + 1).alias("u"), s["k"].alias("k"))), lambda s: s["k"])
-    short = F.when(room > 0, F.substring(name, F.lit(1), took)).otherwise("")
-    return F.when(length <= units, F.concat(name, suffix)).otherwise(F.concat(short, tail))
+    wide = r"([\x{10000}-\x{10FFFF}])"
+    # behind each wide code point stands a mark that no text has, so that characters are units
+    marked = lambda x: F.regexp_replace(x, wide, "$1\uffff")
+    room = F.greatest(F.lit(units - 17) - F.char_length(marked(suffix)), F.lit(0))
+    cut = F.regexp_replace(F.substring(marked(name), F.lit(1), room), wide + "$", "")
+    short = F.concat(F.replace(cut, F.lit("\uffff"), F.lit("")), F.lit("~"), F.substring(F.sha2(name, 256), 1, 16), suffix)
+    return F.when(F.char_length(marked(name)) + F.char_length(marked(suffix)) <= units, F.concat(name, suffix)).otherwise(short)
 
 
 def part_name(stem: Column, part: Column) -> Column:
