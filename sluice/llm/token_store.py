@@ -44,6 +44,8 @@ MAX_IDS = 2048
 SLOTS = 1 << 22
 MAX_PIECES = 1_500_000
 MAX_PIECE_IDS = 200
+#: New pieces encoded in one call.
+JOINED = 2000
 #: Bytes of text hashed at a time.
 WINDOW_BYTES = 1 << 19
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -176,38 +178,72 @@ class Encoder:
 
     def _learn(self, data, hashes, starts, ends, new: np.ndarray) -> np.ndarray:
         """Encode new pieces and put them into the table; returns those that are too long for it."""
-        texts = [data[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
         # " a" and " b" joined are cut at the space again, so one call encodes many; others are encoded alone
-        joined = [t[:1] == b" " and len(t) > 1 and _SURE[t[-1]] and not any(x in t for x in self.special) for t in texts]
-        found: dict[int, np.ndarray] = {}
-        some = [k for k, j in enumerate(joined) if j]
-        alone = [k for k, j in enumerate(joined) if not j]
-        for at in range(0, len(some), 2000):
-            part = some[at : at + 2000]
-            (ids,) = self.direct([b"".join(texts[k] for k in part)])
-            reached, want = np.cumsum(self.bytes_of[ids]), np.cumsum([len(texts[k]) for k in part])
-            cuts_at = np.searchsorted(reached, want)
-            if len(ids) and cuts_at[-1] == len(ids) - 1 and (reached[cuts_at] == want).all():
-                found.update(zip(part, np.split(ids, cuts_at[:-1] + 1), strict=True))
+        joined = (data[starts[new]] == 0x20) & (ends[new] - starts[new] > 1) & _SURE[data[ends[new] - 1]]
+        some = new[joined]
+        text, reach = _gathered(data, starts[some], ends[some])
+        special = self._special_in(text, reach)
+        alone = np.append(new[~joined], some[special])
+        if special.any():
+            some = some[~special]
+            text, reach = _gathered(data, starts[some], ends[some])
+        order, found, counts = [], [], []
+        for at in range(0, len(some), JOINED):
+            want = reach[at : at + JOINED]
+            from_ = int(reach[at - 1]) if at else 0
+            (ids,) = self.direct([text[from_ : int(want[-1])].tobytes()])
+            reached = np.cumsum(self.bytes_of[ids]) + from_
+            last = np.searchsorted(reached, want)
+            if len(ids) and last[-1] == len(ids) - 1 and (reached[last] == want).all():
+                order.append(some[at : at + JOINED])
+                found.append(ids)
+                counts.append(np.diff(last, prepend=-1))
             else:
-                alone += part
-        found.update(zip(alone, self.direct([texts[k] for k in alone]), strict=True))
-        long = []
-        for k, h in enumerate(hashes[new].tolist()):
-            ids = found[k]
-            if len(ids) > MAX_PIECE_IDS:
-                long.append(k)
-                continue
-            while self.n_ids + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            slot = (h >> 20) & (SLOTS - 1)
-            while self.keys[slot]:
-                slot = (slot + 1) & (SLOTS - 1)
-            self.keys[slot], self.at[slot], self.size[slot] = h, self.n_ids, len(ids)
-            self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-            self.n_ids += len(ids)
-            self.n_pieces += 1
-        return new[long]
+                alone = np.append(alone, some[at : at + JOINED])
+        if alone.size:
+            each = self.direct([data[a:b].tobytes() for a, b in zip(starts[alone].tolist(), ends[alone].tolist(), strict=True)])
+            order.append(alone)
+            found += each
+            counts.append(np.array([len(x) for x in each], np.int64))
+        of, ids, sizes = np.concatenate(order), np.concatenate(found), np.concatenate(counts)
+        long = sizes > MAX_PIECE_IDS
+        if long.any():
+            ids = ids[np.repeat(~long, sizes)]
+        kept, sizes = of[~long], sizes[~long]
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self._put(hashes[kept], self.n_ids + np.cumsum(sizes) - sizes, sizes)
+        self.n_ids += len(ids)
+        self.n_pieces += len(kept)
+        return of[long]
+
+    def _special_in(self, text: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Which of the pieces that end at reach hold a special-token string or a part of one."""
+        out = np.zeros(len(reach), bool)
+        for x in self.special:
+            for m in re.finditer(re.escape(x), text):
+                a, b = np.searchsorted(reach, [m.start(), m.end() - 1], "right")
+                out[a : b + 1] = True
+        return out
+
+    def _put(self, hashes, at, sizes) -> None:
+        """Put distinct hashes that the table lacks into its free slots."""
+        slots = (hashes >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+        while hashes.size:
+            free = self.keys[slots] == 0
+            # of several that meet in one slot the last one written has it
+            self.keys[slots[free]] = hashes[free]
+            got = free & (self.keys[slots] == hashes)
+            self.at[slots[got]], self.size[slots[got]] = at[got], sizes[got]
+            hashes, slots, at, sizes = hashes[~got], (slots[~got] + 1) & (SLOTS - 1), at[~got], sizes[~got]
+
+
+def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of pieces one behind the other, and where each ends."""
+    sizes = ends - starts
+    reach = np.cumsum(sizes)
+    return data[np.repeat(starts - (reach - sizes), sizes) + np.arange(int(sizes.sum()))], reach
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -120,6 +120,43 @@ def test_token_store(spark, docs, none, tmp_path):
         assert np.frombuffer(e(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_token_store_learns_pieces_in_bulk(monkeypatch):
+    """New pieces, as most are in noisy text, cost fewer Python calls than there are pieces; ids are the library's."""
+    import random
+    import sys
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefgéßx,.'1", k=r.randint(1, 12))) for _ in range(20_000)]
+    odd = ["<|endoftext|>", "x<|endoftext|>y", "<|endof", "text|>", "é" * 400, "z1" * 300, "'s", "a\n", "\nb", "日本語。"]
+    texts = [" ".join(r.choices(words, k=400)) for _ in range(80)] + [" ".join(r.choices(odd + words[:50], k=60)) for _ in range(40)] + ["", " ", "a", *odd]
+    raw = [x.encode() for x in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    monkeypatch.setattr(token_store, "SLOTS", 1 << 15)  # pieces meet in slots
+    for most in (token_store.MAX_PIECES, 17_000):  # with the table emptied in between, too
+        monkeypatch.setattr(token_store, "MAX_PIECES", most)
+        e = token_store.Encoder(tokenizer_path())
+        for a, b in ((0, 60), (60, len(raw)), (0, len(raw))):
+            calls = 0
+
+            def count(frame, event, arg):
+                nonlocal calls
+                calls += event in ("call", "c_call")
+
+            data, before = np.frombuffer(b"".join(raw), np.uint8), e.n_pieces
+            sys.setprofile(count)
+            try:
+                ids, counts = e.encode(data, offsets[a : b + 1])
+            finally:
+                sys.setprofile(None)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[a:b]
+            if not before:
+                assert e.n_pieces > 10_000 and calls < e.n_pieces
+
+
 def test_famous_passage(spark):
     """A passage in more places than a task should see, beside a rare one: the first places stay."""
     famous, rare = sentence(60, 40) + ". ", sentence(61, 35) + ". "
