@@ -54,7 +54,8 @@ _R = 0xA0761D6478BD642D
 #: Bytes beside which a lone space is surely a place where the pre-tokenizer cuts.
 _SURE = np.array([0x21 <= b <= 0x7E or b >= 0x80 for b in range(256)])
 #: White space beyond ASCII, in UTF-8, and the marks 0x1C to 0x1F: texts that have any are encoded as they are.
-_ODD = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80|[\x1c-\x1f]")
+#: The set in front lets the search skip all other bytes.
+_ODD = re.compile(rb"[\x1c-\x1f\xc2\xe1-\xe3](?:(?<=[\x1c-\x1f])|(?<=\xc2)[\x85\xa0]|(?<=\xe1)\x9a\x80|(?<=\xe2)(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|(?<=\xe3)\x80\x80)")
 
 
 class Encoder:
@@ -113,8 +114,9 @@ class Encoder:
         cut[last[last > text_starts]] = False
         starts = np.flatnonzero(cut[:-1])
         owner = np.searchsorted(text_starts, starts, "right") - 1
-        keep = ~odd[owner] | np.isin(starts, text_starts)
-        starts, owner = starts[keep], owner[keep]
+        if odd.any():
+            keep = ~odd[owner] | np.isin(starts, text_starts)
+            starts, owner = starts[keep], owner[keep]
         ends = np.append(starts[1:], len(data))
         direct = odd[owner] | (ends - starts > 4096)
         slots = np.full(len(starts), -1, np.int64)
