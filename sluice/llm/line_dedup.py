@@ -16,6 +16,9 @@ other columns are kept by deduped().
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,9 @@ BREAK = r"(?<=[\n ])(?:(?<=\n)|(?<=[.!?] ))"
 #: The same places, with the break taken out of the line.
 BREAK_OUT = r"[\n ](?:(?<=\n)|(?<=[.!?] ))"
 #: Texts without these have only single spaces and line feeds between words.
-UNEVEN = r"[\t\x0b\f\r]|  "
+UNEVEN = ("\t", "\x0b", "\f", "\r", "  ")
+#: Distances of the passes that add up words before lines: as many as the longest array needs.
+STEPS = [1 << k for k in range(31)]
 
 
 def lines(text: Column) -> Column:
@@ -46,26 +51,39 @@ def _hashed(docs: DataFrame, min_words: int) -> DataFrame:
     uneven = lambda x: F.struct(F.xxhash64(F.btrim(x, F.lit(" \t\n\x0b\f\r"))).alias("h"), F.regexp_count(x, F.lit(f"[^{SPACE}]+")).alias("n"))
     # hash and count of an even text's line are the same, without a pattern for each line
     spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
-    even = lambda x: F.struct(F.xxhash64(F.trim(x)).alias("h"), F.when(F.trim(x) == "", 0).otherwise(spaces(F.trim(x)) + 1).alias("n"))
-    df = docs.select(_row().alias("row"), F.when(text.rlike(UNEVEN), F.transform(bare, uneven)).otherwise(F.transform(bare, even)).alias("ls"))
-    # slots: for each line -1, then its number for each word; lines of words and words before lines follow without sums.
-    # Columns that lambdas look into are used twice in each step, or Spark would compute them again for each element
-    slots = F.flatten(F.transform("ls", lambda x, i: F.concat(F.array(F.lit(-1)), F.array_repeat(i, F.least(x["n"], F.lit(min_words))))))
-    df = df.select("row", "ls", F.transform("ls", lambda x: x["h"]).alias("_h"), slots.alias("_s"))
-    heads = F.filter(F.transform("_s", lambda x, k: F.when(x < 0, k)), lambda k: k.isNotNull())
-    df = df.select("row", "ls", "_h", F.transform(heads, lambda k, i: k - i).alias("_b"), F.filter("_s", lambda x: x >= 0).alias("_l"))
+    even = lambda x: F.struct(F.xxhash64(x).alias("h"), F.when(x == "", 0).otherwise(spaces(x) + 1).alias("n"))
+    is_uneven = reduce(or_, (text.contains(F.lit(x)) for x in UNEVEN))
+    df = docs.select(_row().alias("row"), F.when(is_uneven, F.transform(bare, uneven)).otherwise(F.transform(F.transform(bare, lambda x: F.trim(x)), even)).alias("ls"))
+    # _l: each word's line; _b: words before each line and, last, all. The work goes by lines, not by words: sums are made in
+    # passes of doubled distances, as many as the lines need. Columns that lambdas look into are used twice in each step, or
+    # Spark would compute them again for each element
+    counts = F.transform("ls", lambda x: F.least(x["n"], F.lit(min_words)))
+    further = lambda c, d: F.when(F.size(c) > d, F.zip_with(c, F.concat(F.array_repeat(F.lit(0), d), F.slice(c, 1, F.size(c) - d)), lambda x, y: x + y)).otherwise(c)
+    sums = F.aggregate(F.array(*[F.lit(d) for d in STEPS]), counts, further)
+    words = F.flatten(F.transform("ls", lambda x, i: F.array_repeat(i, F.least(x["n"], F.lit(min_words)))))
+    gaps = F.exists("ls", lambda x: x["n"] == 0)
+    df = df.select("row", F.transform("ls", lambda x: x["h"]).alias("_h"), words.alias("_l"), F.concat(F.array(F.lit(0)), sums).alias("_b"), gaps.alias("_g"))
     total = F.size("_l")
-    df = df.select("row", "ls", "_h", "_l", F.concat("_b", F.array(total)).alias("_b"))
-    hashed = lambda s, e: F.xxhash64(F.slice("_h", s + 1, e - s))
+    run = lambda s, e: F.struct(F.xxhash64(F.slice("_h", s + 1, e - s)).alias("w"), s.alias("s"), e.alias("e"))
+    kept = lambda *xs: F.filter(F.concat(*xs), lambda x: x.isNotNull())
+    # rows whose lines all have words: the first lines, up to the one with the last place where a window fits, begin one each, and
+    # the last ones, from the one with the min_words-th word, end one each
+    ends = F.transform(F.slice("_b", 1, F.get("_l", total - min_words) + 1), lambda b: F.get("_l", b + (min_words - 1)) + 1)
+    starts = F.transform(F.slice("_b", F.get("_l", F.lit(min_words - 1)) + 2, F.size("_b")), lambda b: F.get("_l", b - min_words))
+    # other rows: for each line, null without words or without a window
+    filled = lambda i: F.get("_b", i) < F.get("_b", i + 1)
     on = lambda i: F.get("_l", F.get("_b", i) + (min_words - 1)) + 1
     back = lambda i: F.get("_l", F.get("_b", i + 1) - min_words)
-    fore = F.transform("ls", lambda x, i: F.when((x["n"] > 0) & (F.get("_b", i) + min_words <= total), F.struct(hashed(i, on(i)).alias("w"), i.alias("s"), on(i).alias("e"))))
-    hind = F.transform("ls", lambda x, i: F.when((x["n"] > 0) & (F.get("_b", i + 1) >= min_words), F.struct(hashed(back(i), i + 1).alias("w"), back(i).alias("s"), (i + 1).alias("e"))))
-    df = df.select("row", "_l", "_b", fore.alias("_f"), hind.alias("_r"))
+    fore = F.transform("_h", lambda _, i: F.when(filled(i) & (F.get("_b", i) + min_words <= total), run(i, on(i))))
+    hind = F.transform("_h", lambda _, i: F.when(filled(i) & (F.get("_b", i + 1) >= min_words), run(back(i), i + 1)))
+    full, some = ~F.col("_g") & (total >= min_words), F.col("_g")
+    df = df.select("row", "_h", "_l", "_b", "_g", F.when(full, ends).alias("_e"), F.when(full, starts).alias("_s"), F.when(some, fore).alias("_f"), F.when(some, hind).alias("_r"))
+    first = F.zip_with(F.sequence(F.lit(0), F.size("_e") - 1), "_e", run)
+    last = F.zip_with("_s", F.sequence(F.size("_h") - F.size("_s") + 1, F.size("_h")), lambda s, e: F.when(F.get("_e", s) == e, None).otherwise(run(s, e)))
     # lines without words lengthen the window beside them
-    f = F.transform("_f", lambda x, i: F.when(x.isNotNull(), x).when(F.get("_b", i) + min_words <= F.size("_l"), _longer(F.get("_f", F.get("_l", F.get("_b", i))), i, None)))
+    f = F.transform("_f", lambda x, i: F.when(x.isNotNull(), x).when(F.get("_b", i) + min_words <= total, _longer(F.get("_f", F.get("_l", F.get("_b", i))), i, None)))
     r = F.transform("_r", lambda x, i: F.when(x.isNotNull() & (F.get("_f", x["s"])["e"] == x["e"]), None).when(x.isNotNull(), x).when(F.get("_b", i + 1) >= min_words, _longer(F.get("_r", F.get("_l", F.get("_b", i + 1) - 1)), None, i + 1)))
-    return df.select("row", F.filter(F.concat(f, r), lambda x: x.isNotNull()).alias("windows"))
+    return df.select("row", F.when(F.col("_e").isNotNull(), kept(first, last)).when(some, kept(f, r)).otherwise(F.array()).alias("windows"))
 
 
 def _longer(x: Column, s: Column | None, e: Column | None) -> Column:
