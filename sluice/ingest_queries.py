@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import names
 from sluice.operators import merge, publish, state
-from sluice.operators.stored import scratch_dir
+from sluice.operators.stored import scratch_dir, stored
 from sluice.sources import files, insert_dump, mixed, records
 
 
@@ -273,7 +273,7 @@ def published_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = some.select(F.concat(F.lit("/in/d"), F.col("d").cast("string"), F.lit("/x.sql")).alias("path"), body.cast("binary").alias("content"))
     items = mixed.read(given)
     reports, rows = (files.described(x(items), "/in") for x in (mixed.reports, mixed.rows))
-    heads = merge.heads(reports)
+    heads = stored(merge.heads(reports), "heads")
     out = f"{scratch_dir(spark)}/published"
     publish.publish(publish.lines(merge.merged(rows, heads), heads, threshold=30, chunk=20), out)
     got = spark.read.option("recursiveFileLookup", "true").text(out)

@@ -9,6 +9,9 @@ from sluice.functions.names import file_base, limited_name
 from sluice.operators.stored import stored
 
 KEY = ("dir", "base")
+#: Keys whose table is sent to all tasks at most; tasks that rows of one key are dealt to where there are more keys.
+FEW = 2_000
+SALTS = 1_024
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -22,7 +25,10 @@ def cell_texts(cells: Column) -> Column:
 
 
 def first_schema(rows: DataFrame) -> DataFrame:
-    """(dir, base, header, width) of each key: from its first row in (path, offset, row) order. Aggregates before its shuffle."""
+    """(dir, base, header, width) of each key: from its first row in (path, offset, row) order. Aggregates before its shuffle.
+
+    The first rows of all statements (insert_dump.first_rows()) are enough.
+    """
     at = F.struct("path", "offset", "row")
     first = F.min_by(F.struct("columns", F.size("cells").alias("n")), at)
     got = rows.groupBy(*KEY).agg(first.alias("f"))
@@ -45,13 +51,26 @@ def padded(values: Column, width: Column) -> Column:
     return F.concat(values, F.array_repeat(F.lit(""), F.greatest(width.cast("int") - F.size(values), F.lit(0))))
 
 
+def by_key(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (with path, offset and row) joined to a table of one row for each key, without a key's rows meeting in one task.
+
+    The table is computed at once. One of a few keys is broadcast, and rows stay where they are; rows of more keys are dealt out by key and salt.
+    """
+    few = table.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        return rows.join(F.broadcast(rows.sparkSession.createDataFrame(few, table.schema).coalesce(1)), list(KEY), how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("path", "offset", "row"), F.lit(SALTS)))
+    dealt = salted.select(*KEY, "_salt").distinct().join(table, list(KEY))  # a key has SALTS rows here at most
+    return salted.join(dealt, [*KEY, "_salt"], how).drop("_salt")
+
+
 def merged(rows: DataFrame, schema: DataFrame | None = None) -> DataFrame:
     """dir, base, header, width, path, offset, row, values: rows of a key padded to its width, wider ones left out.
 
-    The schema (heads() or, from the rows alone, first_schema()) has one row for each key and is joined by Spark's own choice.
+    The schema is that of heads() or of first_schema(), with one row for each key; without it, rows are read once more for it.
     """
     df = keyed(rows) if "base" not in rows.columns else rows
-    met = df.join(first_schema(df) if schema is None else schema, list(KEY)).where(F.size("cells") <= F.col("width"))
+    met = by_key(df, first_schema(df) if schema is None else schema).where(F.size("cells") <= F.col("width"))
     return met.select(*KEY, "header", "width", "path", "offset", "row", padded(cell_texts(F.col("cells")), F.col("width")).alias("values"))
 
 
@@ -59,7 +78,7 @@ def too_wide(rows: DataFrame, schema: DataFrame) -> DataFrame:
     """Rows lost to their key's width: (dir, base, path, offset, n_lost, n_rows); a unit that lost all is rejected."""
     df = keyed(rows) if "base" not in rows.columns else rows
     lost = F.sum((F.size("cells") > F.col("width")).cast("long"))
-    got = df.join(schema, list(KEY)).groupBy(*KEY, "path", "offset").agg(lost.alias("n_lost"), F.count(F.lit(1)).alias("n_rows"))
+    got = by_key(df, schema).groupBy(*KEY, "path", "offset").agg(lost.alias("n_lost"), F.count(F.lit(1)).alias("n_rows"))
     return got.where("n_lost > 0").withColumn("rejected", F.col("n_lost") == F.col("n_rows"))
 
 
@@ -80,8 +99,8 @@ def ordered(df: DataFrame) -> DataFrame:
     return df.repartition(*KEY).sortWithinPartitions(*KEY, "path", "offset", "row")
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
-    """Adds part (1, 2, ...) of at most ``size`` rows by order within keys.
+def numbered(df: DataFrame, keys: list[str], order: list[str], size: int, above: int = 0) -> DataFrame:
+    """Adds part (1, 2, ...) of at most ``size`` rows by order within keys; keys of no more than ``above`` rows are one part.
 
     Counts by range partition and prefix sums number rows without bringing a key into one task. Ties in the order may fall either way.
     """
@@ -89,6 +108,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], size: int) -> Dat
     ranged = stored(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()), "ranged")
     within = Window.partitionBy("_p", *keys).orderBy(*order)
     counts = ranged.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.withColumn("_b", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_c"))
+    of_key = Window.partitionBy(*keys)
+    before = counts.withColumn("_b", F.sum("_c").over(of_key.orderBy("_p")) - F.col("_c")).withColumn("_n", F.sum("_c").over(of_key))
     out = ranged.withColumn("_r", F.row_number().over(within)).join(before.drop("_c"), [*keys, "_p"])
-    return out.withColumn("part", F.floor((F.col("_r") + F.col("_b") - 1) / size) + 1).drop("_p", "_r", "_b")
+    part = F.floor((F.col("_r") + F.col("_b") - 1) / size) + 1
+    return out.withColumn("part", F.when(F.col("_n") > above, part).otherwise(F.lit(1))).drop("_p", "_r", "_b", "_n")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.names import part_name
-from sluice.operators.merge import KEY, csv_line
+from sluice.operators.merge import KEY, by_key, csv_line
 from sluice.operators.split import CHUNK, THRESHOLD, parts
 from sluice.operators.stored import dropped, fs_of, stored
 
@@ -39,7 +39,7 @@ def lines(tables: DataFrame, heads: DataFrame, taken: DataFrame | None = None, t
     cut = parts(tables, list(KEY), ["path", "offset", "row"], threshold, chunk)
     if taken is not None:
         free = cut.select(*KEY).distinct().join(taken.withColumnRenamed("dir", "at"), (F.lower("base") == F.col("stem")) & (F.col("dir") == F.col("at")), "left_semi").withColumn("whole", F.lit(True))
-        cut = cut.join(free, list(KEY), "left").withColumn("part", F.when(F.col("whole"), F.lit(1)).otherwise(F.col("part"))).drop("whole")
+        cut = by_key(cut, free, "left").withColumn("part", F.when(F.col("whole"), F.lit(1)).otherwise(F.col("part"))).drop("whole")
     body = cut.select(*KEY, F.col("part").cast("long").alias("part"), F.lit(False).alias("header"), "path", "offset", "row", csv_line(F.col("values")).alias("line"))
     each = body.groupBy(*KEY).agg(F.max("part").alias("last"))
     tops = heads.where("header is not null").join(each, list(KEY), "left").withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("last", F.lit(1).cast("long")))))

@@ -62,8 +62,7 @@ def exceeds(df: DataFrame, threshold: int = THRESHOLD) -> bool:
 
 def parts(df: DataFrame, keys: list[str], order: list[str], threshold: int = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
     """Adds part: 1 for keys up to the threshold, else by chunks in order."""
-    large = df.groupBy(*keys).agg((F.count(F.lit(1)) > threshold).alias("_large"))
-    return numbered(df, keys, order, chunk).join(large, keys).withColumn("part", F.when(F.col("_large"), F.col("part")).otherwise(F.lit(1))).drop("_large")
+    return numbered(df, keys, order, chunk, threshold)
 
 
 def lines(text: Column) -> Column:

@@ -31,6 +31,12 @@ def _dump(df: DataFrame, table: str, values: list[Column], columns: list[str], b
     return got.select(F.concat(F.lit(f"/in/{table}_"), F.lpad("b", 9, "0"), F.lit(".sql")).alias("path"), body.cast("binary").alias("content"))
 
 
+def _merged(files: DataFrame) -> DataFrame:
+    """Rows of dumps (path, content) of one directory, merged by table."""
+    rows, firsts = (read(files).withColumn("dir", F.lit("")) for read in (insert_dump.read_rows, insert_dump.first_rows))
+    return merge.merged(rows, merge.first_schema(merge.keyed(firsts)))
+
+
 def insert_roundtrip_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders rendered as dumps, parsed, merged and typed again."""
     o = _table(spark, sf_dir, "orders")
@@ -38,9 +44,8 @@ def insert_roundtrip_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = [F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), _literal(F.col("o_orderstatus")), cents, _literal(F.date_format("o_orderdate", "yyyy-MM-dd")), _literal(F.col("o_orderpriority"))]
     columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_cents", "o_orderdate", "o_orderpriority"]
     files = _dump(o.select("o_orderkey", *[c for c in o.columns if c != "o_orderkey"]), "orders", values, columns, F.floor(F.col("o_orderkey") / 20_000))
-    rows = insert_dump.read_rows(files).withColumn("dir", F.lit(""))
     v = lambda k: F.element_at("values", k + 1)
-    return merge.merged(rows).select(v(0).cast("long").alias("o_orderkey"), v(1).cast("long").alias("o_custkey"), v(2).alias("o_orderstatus"), v(3).cast("long").alias("o_cents"), v(4).alias("o_orderdate"), v(5).alias("o_orderpriority"))
+    return _merged(files).select(v(0).cast("long").alias("o_orderkey"), v(1).cast("long").alias("o_custkey"), v(2).alias("o_orderstatus"), v(3).cast("long").alias("o_cents"), v(4).alias("o_orderdate"), v(5).alias("o_orderpriority"))
 
 
 def insert_merge_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +54,7 @@ def insert_merge_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _table(spark, sf_dir, "nation")
     a = _dump(r, "place", [F.col("r_regionkey").cast("string"), _literal(F.col("r_name"))], ["id", "name"], F.lit(1))
     b = _dump(n, "place", [F.col("n_nationkey").cast("string"), _literal(F.col("n_name"))], ["code", "label"], F.lit(2))
-    rows = insert_dump.read_rows(a.union(b)).withColumn("dir", F.lit(""))
-    got = merge.merged(rows)
+    got = _merged(a.union(b))
     return got.select("base", F.array_join("header", ",").alias("header"), "path", F.col("row").cast("long").alias("row"), F.element_at("values", 1).alias("id"), F.element_at("values", 2).alias("name"))
 
 
@@ -61,8 +65,7 @@ def insert_width_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat(F.lit("("), F.array_join(F.array_repeat(F.col("p_partkey").cast("string"), k), ","), F.lit(")"))
     files = p.groupBy(F.floor(F.col("p_partkey") / 250).alias("b")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))).alias("xs"))
     body = F.concat(F.lit("INSERT INTO w (a, b, c) VALUES "), F.array_join(F.transform("xs", lambda x: x["r"]), ","), F.lit(";"))
-    rows = insert_dump.read_rows(files.select(F.concat(F.lit("/in/"), F.col("b").cast("string")).alias("path"), body.cast("binary").alias("content"))).withColumn("dir", F.lit(""))
-    return merge.merged(rows).select(*[F.element_at("values", i + 1).alias(c) for i, c in enumerate("abc")])
+    return _merged(files.select(F.concat(F.lit("/in/"), F.col("b").cast("string")).alias("path"), body.cast("binary").alias("content"))).select(*[F.element_at("values", i + 1).alias(c) for i, c in enumerate("abc")])
 
 
 #: Names and whether they carry personal data, tables' columns and whether they do; judged by hand.

@@ -11,7 +11,7 @@ from sluice import queries
 from sluice.functions import names
 from sluice.operators import merge, split, state
 from sluice.plans import ingest
-from sluice.sources import biff, files, mixed
+from sluice.sources import biff, files, insert_dump, mixed
 from sluice.sources.workbook import Unsupported, sheets
 
 SF = "/root/testdata/sf0.001"
@@ -171,6 +171,52 @@ def test_numbered_parts_are_exact(spark):
     assert [r.n for r in got] == [20_000] * 15 and all(x.b < y.a for x, y in zip(got, got[1:], strict=False))
 
 
+@pytest.fixture
+def plain_joins(spark):
+    """Joins that Spark neither broadcasts by itself nor deals anew."""
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_rows_of_one_key_stay_apart(spark, plain_joins, monkeypatch):
+    """A table of all rows is merged, counted and split without one task that has them all, by either way to join its header."""
+    row = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(199)), lambda k: F.concat(F.lit("("), F.col("id") * 200 + k, F.when(k % 50 == 7, ", 1, 1").otherwise(", 1"), F.lit(")"))), ",")
+    text = F.concat(F.lit("INSERT INTO t "), F.when(F.col("id") == 0, "(a, b) ").otherwise(""), F.lit("VALUES "), row, F.lit("; INSERT INTO u VALUES (1)"))
+    given_ = spark.range(0, 16, 1, 8).select(F.format_string("/in/%02d.sql", "id").alias("path"), text.cast("binary").alias("content"))
+    rows, firsts = (x(given_).withColumn("dir", F.lit("")) for x in (insert_dump.read_rows, insert_dump.first_rows))
+    schema = merge.first_schema(merge.keyed(firsts))
+    assert sorted(schema.collect()) == sorted(merge.first_schema(merge.keyed(rows)).collect())
+    said = []
+    for few in (merge.FEW, 0):
+        monkeypatch.setattr(merge, "FEW", few)
+        for given_schema in (schema, None):
+            got = merge.merged(rows, given_schema)
+            n = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(n) == 16 * 196 + 16 and max(n) < sum(n) / 2
+        said.append((sorted(map(repr, got.select(*sorted(got.columns)).collect())), sorted(map(tuple, merge.too_wide(rows, schema).collect()))))
+    assert said[0] == said[1] and len(said[0][1]) == 15 and {x[4:] for x in said[0][1]} == {(4, 200, False)}
+    cut = split.parts(merge.merged(rows, schema), list(merge.KEY), ["path", "offset", "row"], 16, 1000)
+    n = [r["count"] for r in cut.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(n) == 16 * 196 + 16 and max(n) < sum(n) / 2
+    assert {tuple(r) for r in cut.groupBy("base", "part").count().collect()} == {("u", 1, 16), ("t", 1, 1000), ("t", 2, 1000), ("t", 3, 1000), ("t", 4, 136)}
+
+
+def test_first_rows(spark):
+    """Those that read_rows() gives first, of statements whose first rows are too wide too."""
+    texts = ["INSERT INTO a (x) VALUES (1, 2), (3), (4);INSERT INTO b VALUES (5), (6", "INSERT INTO c (x) VALUES (1, 2);INSERT INTO d VALUES ;", "INSERT INTO e VALUES ();INSERT INTO f VALUES (1) (2);", ""]
+    given_ = spark.createDataFrame([(str(k), t.encode()) for k, t in enumerate(texts)], "path string, content binary")
+    at = lambda r: (r.path, r.offset)
+    rows = sorted(insert_dump.read_rows(given_).collect(), key=lambda r: (*at(r), r.row))
+    firsts = sorted(insert_dump.first_rows(given_).collect(), key=at)
+    assert firsts == [r for k, r in enumerate(rows) if not k or at(rows[k - 1]) != at(r)]
+    assert [(r.table, r.row) for r in firsts] == [("a", 1), ("b", 0), ("e", 0)]
+
+
 def test_limited_names(spark):
     given_ = ["x" * 251, "x" * 252, "😀" * 130, "a" + "😀" * 130, "é" * 400, "b" * 249 + "😀"]
     rows = spark.createDataFrame([(x, s) for x in given_ for s in ("", "_12")], "n string, s string")
