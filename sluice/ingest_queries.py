@@ -271,7 +271,7 @@ def published_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = s.groupBy((k % 3).alias("d")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("r")))).alias("xs"))
     body = F.concat(F.lit("INSERT INTO `sup?` (k, n, z) VALUES "), F.array_join(F.transform("xs", lambda x: x["r"]), ","))
     given = some.select(F.concat(F.lit("/in/d"), F.col("d").cast("string"), F.lit("/x.sql")).alias("path"), body.cast("binary").alias("content"))
-    items = mixed.read(given)
+    items = stored(mixed.read(given), "items")
     reports, rows = (files.described(x(items), "/in") for x in (mixed.reports, mixed.rows))
     heads = stored(merge.heads(reports), "heads")
     out = f"{scratch_dir(spark)}/published"
@@ -286,8 +286,8 @@ def width_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     text = F.when(k % 10 == 0, F.concat(F.lit("INSERT INTO w (a, b) VALUES ("), k.cast("string"), F.lit(", 1)"))).when(k % 10 < 5, F.lit("INSERT INTO w (a, b, c) VALUES (1, 2, 3), (4, 5, 6)")).otherwise(F.lit("INSERT INTO w VALUES (1), (1, 2, 3), (2, 2)"))
     given = p.select(F.concat(F.lit("/in/"), (F.floor(k / 10)).cast("string"), F.lit("/"), F.lpad((k % 10).cast("string"), 2, "0"), F.lit(".sql")).alias("path"), text.cast("binary").alias("content"))
-    items = mixed.read(given)
-    heads = merge.heads(files.described(mixed.reports(items), "/in"))
+    items = stored(mixed.read(given), "items")
+    heads = stored(merge.heads(files.described(mixed.reports(items), "/in")), "heads")
     lost = merge.too_wide(files.described(mixed.rows(items), "/in").where("dir <> ''"), heads)
     return lost.select("dir", F.regexp_extract("path", "([0-9]+)[.]sql$", 1).cast("long").alias("k"), "n_lost", "n_rows", "rejected")
 

@@ -173,8 +173,8 @@ def test_numbered_parts_are_exact(spark):
 
 @pytest.fixture
 def plain_joins(spark):
-    """Joins that Spark neither broadcasts by itself nor deals anew."""
-    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    """Joins that Spark neither broadcasts by itself nor deals anew, in many more partitions than rows of a key fall in by chance."""
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32"}
     old = {k: spark.conf.get(k) for k in held}
     for k, v in held.items():
         spark.conf.set(k, v)
